@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .mixing import mix_sources
+from .quality import quality_rules
 from .simhash import near_duplicates
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
 
@@ -29,5 +36,36 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup}
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
+
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+OP7_SQL = f"""
+WITH t AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size,
+                  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM t GROUP BY source),
+     w AS (SELECT *, [3, 1, 2][((r - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS budget FROM s),
+     o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                  sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS w_left FROM w),
+     c AS (SELECT *, cap / w * w_left <= budget - before AS capped FROM o),
+     f AS (SELECT *, budget - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0) AS free,
+                  sum(CASE WHEN NOT capped THEN w END) OVER ()::DOUBLE AS w_free FROM c),
+     g AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE free * w / w_free END AS target FROM f),
+     e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM g),
+     b AS (SELECT t.doc_id, t.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS b,
+                  sum(t.size) OVER (PARTITION BY t.source ORDER BY t.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+                  sum(t.size) OVER (PARTITION BY t.source, t.h) AS own
+           FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN b <= 0 THEN 0 WHEN cum <= b OR 2 * (b - (cum - own)) > own AND cum - own <= b THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM b
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
