@@ -143,7 +143,7 @@ def quality_rules(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1",
     trees: int = 200, subsample: int = 256, fit_rows: int = 25_600, clean_loss: float = 0.005, bins: int = 4000, seed: int = 7,
 ) -> DataFrame:
-    """One row per input row: doc_id, the STATS, base_failed, score, threshold, kept.
+    """One row per input row: doc_id, the STATS, base_failed, score, threshold, kept, text_key.
 
     base_failed: under 50 words, or over half of the words in repeated windows. labels has id_col and what ``good`` asks for; of those
     labelled rows that pass the base rules, the ``fit_rows`` of smallest hash grow the forest, and all of them set the threshold: the one
@@ -151,7 +151,7 @@ def quality_rules(
     both kinds. Null and empty texts have no words and fail the base rules. Ids may be null or repeat: each row has its own result.
     Other columns are ignored.
     """
-    rows = stage(df.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("s")).select("doc_id", "s.*"), "statistics")
+    rows = stage(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), statistics(F.col(text_col)).alias("s")).select("doc_id", "text_key", "s.*"), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.expr(good).cast("int")).alias("is_good"))
@@ -169,7 +169,14 @@ def quality_rules(
         .agg(F.sum("is_good").alias("good"), F.sum(1 - F.col("is_good")).alias("bad")).toPandas()
     )
     threshold = _threshold(counts, clean_loss, bins)
-    return scored.select("doc_id", *STATS, "base_failed", "score", F.lit(threshold).alias("threshold"), (~F.col("base_failed") & (F.col("score") < F.lit(threshold))).alias("kept"))
+    kept = (~F.col("base_failed") & (F.col("score") < F.lit(threshold))).alias("kept")
+    return scored.select("doc_id", *STATS, "base_failed", "score", F.lit(threshold).alias("threshold"), kept, "text_key")
+
+
+def drop_low_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df that the rules keep, all columns. Rows of one id and text share their fate, which their text decides."""
+    kept = quality_rules(df, labels, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))
+    return df.join(kept, df[id_col].eqNullSafe(F.col("__kept_id")) & (F.xxhash64(df[text_col]) == F.col("__kept_key")), "left_semi")
 
 
 def _threshold(counts: pd.DataFrame, clean_loss: float, bins: int) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources
 from .quality import quality_rules
+from .sentencepiece_codec import decode, encode, load_model
 from .simhash import near_duplicates
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -21,6 +22,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: A public model's file; its place is a parameter of load_model.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = load_model(PIECES)
+    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    same = F.col("decoded").eqNullSafe(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" ")))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
 
@@ -67,5 +79,5 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, salted_lookup, stage
+from .common import ascii_lower, connected_components, salted_lookup, stage
 
 #: Aimed rows of a route's table, and those above which it is cut into chunks.
 TABLE_ROWS, CHUNK_ROWS = 8192, 65536
@@ -200,3 +200,52 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = salted_lookup(named.select("fp", "root"), "fp", "root", classes).select("fp", "component_id")
     return salted_lookup(docs, "doc_id", "fp", answer).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text, width: int):
+    """Column of the distinct shingle hashes of a text."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    return udf(text)
+
+
+def similar_groups(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 6, segments: int = 3, similarity: float = 0.8
+) -> DataFrame:
+    """One row per distinct text: text_key, least (smallest id with it), root (names the group), stays (of each group, the text of least id).
+
+    Texts whose fingerprints of ``width``-word shingles are near are compared by their shingle sets, and link at a Jaccard similarity of
+    ``similarity`` or more. Compared are the links of the fingerprints' forest, which prefers near ones, and each text with the first
+    of its fingerprint: a linear number, however large a group is. Texts equal after lower-casing A-Z are one; two texts without words are
+    alike. Null counts as empty, and a null id as larger than all others.
+    """
+    key = F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")))
+    docs = stage(df.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), fingerprint(F.col(text_col), width).alias("fp")), "prints")
+    texts = stage(docs.groupBy("text_key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "texts")
+    prints = stage(texts.groupBy("fp").agg(F.min("text_key").alias("first")), "firsts")
+    edges = hamming_forest(prints.select("fp"), distance=distance, segments=segments)
+    across = edges.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    within = texts.join(prints, "fp").where("text_key != first").select(F.col("text_key").alias("u"), F.col("first").alias("v"))
+    pairs = stage(across.select("u", "v").union(within), "pairs")
+    suspects = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    suspected = df.select(key.alias("text_key"), F.col(text_col).alias("t")).join(suspects, "text_key", "left_semi")
+    sets = suspected.groupBy("text_key").agg(F.any_value("t").alias("t")).select("text_key", _shingle_set(F.col("t"), width).alias("s"))
+    sets = stage(sets, "sets")
+    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("s").alias("sv")), "v")
+    shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("all"))
+    links = shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n")))
+    rooted = texts.join(connected_components(links, "u", "v"), F.col("text_key") == F.col("id"), "left")
+    rooted = stage(rooted.select("text_key", "least", F.coalesce("root", "text_key").alias("root")), "rooted")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("best"))
+    return salted_lookup(rooted, "text_key", "root", best).select("text_key", "least", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
+
+
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one row of each group of ``similar_groups``: that of the smallest id; all columns."""
+    stays = similar_groups(df, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("text_key").alias("__near_stays"), F.col("least").alias("__near_least"))
+    keyed = df.withColumn("__near_key", F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))))
+    own = keyed.join(stays, (F.col("__near_key") == F.col("__near_stays")) & F.col(id_col).eqNullSafe(F.col("__near_least")))
+    return own.dropDuplicates(["__near_key"]).select(*df.columns)
