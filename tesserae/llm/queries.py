@@ -10,6 +10,7 @@ from .mixing import mix_sources
 from .quality import quality_rules
 from .sentencepiece_codec import decode, encode, load_model
 from .simhash import near_duplicates
+from .warc import archived_pages
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -79,5 +80,18 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"), least_bytes=1000).drop("target_uri")
+
+
+OP8_SQL = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+     g AS (SELECT payload_digest, max(page_id) AS first FROM t WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM t LEFT JOIN g USING (payload_digest)
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
