@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .hmm import score_texts
 from .mixing import mix_sources
 from .quality import quality_rules
 from .sentencepiece_codec import decode, encode, load_model
@@ -23,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 #: A public model's file; its place is a parameter of load_model.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -93,5 +98,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_i
 FROM t LEFT JOIN g USING (payload_digest)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
