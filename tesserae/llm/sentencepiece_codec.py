@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters indexed at once, cached words of a Python worker, and characters of text whose words are looked up together.
-INDEX_CHARS, CACHED_WORDS, BATCH_CHARS = 1 << 20, 400_000, 1 << 23
+INDEX_CHARS, CACHED_WORDS, BATCH_CHARS = 1 << 18, 400_000, 1 << 21
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -58,7 +60,9 @@ class Model:
     types: list[int]
     rank: np.ndarray  # order of merging; -1 for single characters
     ids: np.ndarray  # matched pieces, by (length, id)
-    codes: np.ndarray  # their code points, zero-padded
+    codes: np.ndarray  # their characters' numbers, zero-padded
+    bits: int  # of a character's number
+    alphabet: np.ndarray  # number of each code point that pieces have; 0 for others
     lengths: np.ndarray
     left: np.ndarray  # the two pieces that a piece is merged from
     right: np.ndarray
@@ -110,48 +114,52 @@ class Model:
     # -- matching -----------------------------------------------------------------------------------------------------------
 
     def _occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece id) of every occurrence of every piece in an array of code points."""
-        n, width = len(text), self.codes.shape[1]
-        padded = np.concatenate((text.astype(np.int64), np.zeros(width + 3, np.int64)))
-        three = (padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:]
-        order, depth = np.unique(three[:n], return_inverse=True)[1], 3
-        while depth < width:
+        """(start, end, piece id) of every occurrence of every piece in an array of character numbers."""
+        n, width, bits, deep = len(text), self.codes.shape[1], self.bits, 63 // self.bits
+        padded = np.concatenate((text, np.zeros(width + deep, np.int64)))
+        key = padded[: n + width].copy()
+        for k in range(1, deep):
+            key <<= bits
+            key |= padded[k : n + width + k]
+        order, depth = np.unique(key[:n], return_inverse=True)[1], deep
+        while depth < self.lengths.max():
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - depth)] = order[depth:] + 1
             order, depth = np.unique(order * (n + 1) + ahead, return_inverse=True)[1], 2 * depth
         suffixes = np.argsort(order, kind="stable")
         lo, hi = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), n, np.int64)
-        for at in range(0, width, 3):
+        for at in range(0, width, deep):
             live = np.flatnonzero((self.lengths > at) & (hi > lo))
-            keys = three[np.minimum(suffixes + at, n)]
-            piece = self.codes[live, at : at + 3]
-            low = (piece[:, 0] << 42) | (piece[:, 1] << 21) | piece[:, 2]
-            free = 21 * np.maximum(0, at + 3 - self.lengths[live])
+            keys = key[suffixes + at]
+            low = np.zeros(len(live), np.int64)
+            for k in range(deep):
+                low = (low << bits) | self.codes[live, at + k]
+            free = bits * np.maximum(0, at + deep - self.lengths[live])
             lo[live], hi[live] = _within(keys, lo[live], hi[live], low), _within(keys, lo[live], hi[live], low + (np.int64(1) << free))
         counts = hi - lo
-        starts = suffixes[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-        return starts, starts + np.repeat(self.lengths, counts), np.repeat(self.ids, counts)
+        starts = suffixes.astype(np.int32)[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        return starts, starts + np.repeat(self.lengths.astype(np.int32), counts), np.repeat(self.ids.astype(np.int32), counts)
 
     def _encode_words(self, words: list[str]) -> None:
-        """Put the encoding of each word, with a space before it, into the cache."""
-        text = np.frombuffer("\0".join(SPACE + w for w in words).encode("utf-32-le", "surrogatepass") + b"\0" * 4, "<u4").astype(np.int64)
+        """Put the encoding of each word into the cache: with a space before it, unless it starts with a line break."""
+        text = np.frombuffer("\0".join(w if w[:1] == "\n" else SPACE + w for w in words).encode("utf-32-le", "surrogatepass") + b"\0" * 4, "<u4").astype(np.int64)
         starts = np.concatenate(([0], np.flatnonzero(text == 0)[:-1] + 1))
-        plain = np.where(self.known[text], text, 0)
+        plain = self.alphabet[text]
         start, end, piece = self._occurrences(plain)
         # what precedes a position in its run of known characters
-        at = np.arange(len(plain))
+        at = np.arange(len(plain), dtype=np.int32)
         run = np.maximum.accumulate(np.where(plain == 0, at + 1, 0))
         step = end - run[end - 1]
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
-        last, come = np.full(len(plain) + 1, -1, np.int64), np.zeros(len(plain) + 1, np.int64)
+        last, come = np.full(len(plain) + 1, -1, np.int64), np.zeros(len(plain) + 1, np.int32)
         cuts = np.searchsorted(step, np.arange(1, (step[-1] if len(step) else 0) + 2))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             s, e, p = start[i:j], end[i:j], piece[i:j]
             whole = s == run[e - 1]
             good = whole.copy()
             rest = np.flatnonzero(~whole)
-            good[rest] = self.stay_apart(last[s[rest]], p[rest], np.full(len(rest), 1 << 40, np.int64))
+            good[rest] = self.stay_apart(last[s[rest]], p[rest].astype(np.int64), np.full(len(rest), 1 << 40, np.int64))
             last[e[good]], come[e[good]] = p[good], s[good]
         tokens, stops = self._walk(text, plain, last, come)
         first = np.searchsorted(stops, starts, "right")
@@ -180,9 +188,6 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text; null and empty texts have none."""
-        if not hasattr(self, "known"):
-            self.known = np.zeros(0x110000, bool)
-            self.known[self.codes[self.lengths == 1, 0]] = True
         out: list[np.ndarray] = []
         i = 0
         while i < len(texts):
@@ -190,10 +195,11 @@ class Model:
             while j < len(texts) and (j == i or chars < BATCH_CHARS):
                 chars += len(texts[j] or "")
                 j += 1
-            parts = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts[i:j]]
+            # a line break starts a word that has no space before it
+            parts = [t.replace(SPACE, " ").replace("\n", " \n").split(" ") if t else [] for t in texts[i:j]]
             if len(self.cache) > CACHED_WORDS:
                 self.cache.clear()
-            new = sorted({w for p in parts for w in p} - self.cache.keys())
+            new = list(set().union(*parts) - self.cache.keys())
             a = 0
             while a < len(new):
                 b, size = a, 0
@@ -225,7 +231,7 @@ class Model:
         """The encoding of a word without a space before it: that of the word after a character no piece has, less that character."""
         if not word:
             return b""
-        stop = next(c for c in map(chr, range(1, 32)) if not self.known[ord(c)])
+        stop = next(c for c in map(chr, range(1, 32)) if not self.alphabet[ord(c)] and c != "\n")
         self._encode_words([stop + word])
         coded = self.cache.pop(stop + word)
         return coded[8:]  # the space, and one byte
@@ -290,7 +296,7 @@ def load_model(path: str) -> Model:
     lowest = min(scores[i] for i in matched if len(pieces[i]) > 1)
     if (
         trainer.get(3) != 2 or types.count(BYTE) != 256 or normal.get(2) or normal.get(3) != 1 or normal.get(4) != 0
-        or USER_DEFINED in types or SPACE not in singles or any(SPACE in pieces[i][1:] for i in matched)
+        or USER_DEFINED in types or SPACE not in singles or "\n" in singles or any(SPACE in pieces[i][1:] for i in matched)
         or len({scores[i] for i in runs.values()}) > 1 or any(scores[i] >= lowest for i in runs.values())
         or not {c for i in matched for c in pieces[i]} <= singles
     ):
@@ -304,15 +310,18 @@ def load_model(path: str) -> Model:
     a, b, made = np.array(splits, np.int64).reshape(-1, 3).T
     order = np.argsort(a * len(pieces) + b)
     lengths = np.array([len(pieces[i]) for i in matched], np.int64)
-    codes = np.zeros((len(matched), -(-int(lengths.max()) // 3) * 3), np.int64)
+    alphabet, chars = np.zeros(0x110000, np.int64), sorted(singles)
+    alphabet[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    bits = len(chars).bit_length()
+    codes = np.zeros((len(matched), -(-int(lengths.max()) // (63 // bits)) * (63 // bits)), np.int64)
     for row, i in enumerate(matched):
-        codes[row, : lengths[row]] = [ord(c) for c in pieces[i]]
+        codes[row, : lengths[row]] = alphabet[[ord(c) for c in pieces[i]]]
     byte_ids = np.zeros(256, np.int64)
     for i, t in enumerate(types):
         if t == BYTE:
             byte_ids[int(pieces[i][1:-1], 16)] = i
     model = Model(
-        pieces, types, rank, np.array(matched, np.int64), codes, lengths, np.arange(len(pieces)), np.arange(len(pieces)),
+        pieces, types, rank, np.array(matched, np.int64), codes, bits, alphabet, lengths, np.arange(len(pieces)), np.arange(len(pieces)),
         (a * len(pieces) + b)[order], rank[made][order], np.zeros(1 << 21, np.uint8), byte_ids, number[SPACE], runs,
     )
     h = model._hash(model.pair_keys)
@@ -320,7 +329,7 @@ def load_model(path: str) -> Model:
     # how each piece is merged, short ones first: at its last step, two pieces that stay apart until then
     formed = rank < 0
     size = np.array([len(p) for p in pieces])
-    for length in range(2, codes.shape[1] + 1):
+    for length in range(2, int(lengths.max()) + 1):
         own = np.flatnonzero(size[made] == length)
         own = own[formed[a[own]] & formed[b[own]]]
         own = own[model.stay_apart(a[own], b[own], rank[made[own]])]
@@ -336,6 +345,7 @@ def encode(df: DataFrame, model: Model, *, text_col: str = "text", to: str = "id
     U+2581 in a text is a space, as in the library. Characters without a piece become the bytes of their UTF-8. The column replaces
     one of that name. Long words and texts are encoded whole.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
