@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .hmm import score_texts
+from .lines import line_report
 from .mixing import mix_sources
+from .pii import find_pii, joined_spans
 from .quality import quality_rules
 from .sentencepiece_codec import decode, encode, load_model
+from .sharding import LIMIT, assign_shards
 from .simhash import near_duplicates
 from .warc import archived_pages
 
@@ -28,6 +31,11 @@ def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_report(_table(spark, sf_dir, "documents"))
+    return report.select("doc_id", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
 #: A public model's file; its place is a parameter of load_model.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -98,5 +106,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_i
 FROM t LEFT JOIN g USING (payload_digest)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS b,
+                  ('0x' || substr(md5('shard:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+     d AS (SELECT doc_id, b, h, depth, h >> (60 - depth) AS q FROM t, (SELECT unnest(range(0, 25))::INT AS depth)),
+     s AS (SELECT depth, q, sum(b)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) = max(h) AS one FROM d GROUP BY depth, q),
+     l AS (SELECT d.doc_id, d.h, min(depth) AS shard_depth FROM d JOIN s USING (depth, q) WHERE shard_bytes <= {LIMIT} OR one GROUP BY ALL)
+SELECT l.doc_id, CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(q), shard_depth, '0') END AS shard, shard_depth, shard_bytes, shard_docs, shard_bytes <= {LIMIT} AS shard_fits
+FROM l JOIN s ON s.depth = shard_depth AND s.q = l.h >> (60 - shard_depth)
+"""
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["k"] < 4)
+    return found.select(
+        "doc_id", count(0).alias("n_email"), count(1).alias("n_ip"), count(2).alias("n_card"), count(3).alias("n_phone"),
+        F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), count(4).alias("n_term"),
+    )
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_pii": op10_pii}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL}
