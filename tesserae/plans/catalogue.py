@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import codec, ingestion, latent
+
+QUERIES = ingestion.QUERIES | latent.QUERIES | codec.QUERIES
+ORACLES = ingestion.ORACLES | latent.ORACLES | codec.ORACLES
