@@ -65,3 +65,33 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     if missing or not row.limit(1).count():
         raise ValueError(f"{path} lacks {', '.join(missing) or 'everything'}")
     return row
+
+
+def write_calibration(codec, path: str, **metadata) -> None:
+    """The calibration document of a codec: metadata (with the mode it was fitted in), parameters, and tables. A file of the driver's."""
+    import numpy as np
+
+    from ..operators import entropy
+
+    doc = {
+        "calibration_metadata": {"method": f"percentile_{codec.mode}"} | {k: str(v) for k, v in metadata.items()},
+        "quantization": {"bits": codec.bits, "mode": codec.mode, "scale": codec.scales.tolist(), "zero_point": codec.zero_points.tolist()},
+        "entropy_model": {"name": entropy.MODEL_NAME, "version": entropy.MODEL_VERSION, "bits": codec.bits, "frequencies": np.diff(codec.cumulative, axis=1).tolist()},
+    }
+    with open(path, "w") as f:
+        json.dump(doc, f, indent=2)
+
+
+def load_codec(spark: SparkSession, path: str, *, shape: tuple[int, int, int], image: tuple[int, int, int]):
+    """The codec of a calibration document. Other model versions, unequal lengths and scales that aren't positive raise ValueError."""
+    from ..operators import container, entropy
+
+    row = read_calibration(spark, path).first()
+    q, e = row.quantization, row.entropy_model
+    if e.version != entropy.MODEL_VERSION:
+        raise ValueError(f"version {e.version} of the entropy model isn't known")
+    if len(q.scale) != len(q.zero_point) or q.mode == "global" and len(q.scale) != 1 or not all(s > 0 for s in q.scale):
+        raise ValueError(f"{path}: the parameters don't fit each other")
+    freq = spark.createDataFrame([(t, s, n) for t, own in enumerate(e.frequencies) for s, n in enumerate(own)], "table int, symbol int, freq long")
+    ids = entropy.model_id(freq, e.bits).first()["model_id"]
+    return container.Codec(bits=q.bits, mode=q.mode, shape=shape, image=image, scales=q.scale, zero_points=q.zero_point, frequencies=e.frequencies, model_id=ids)
