@@ -14,6 +14,7 @@ from . import coder
 
 # Fixed values of the format.
 MAGIC = b"NVC1"
+SUFFIX = ".nvc"
 VERSION = 1
 CODER_ID = 1
 MODES = {"global": 0, "per_channel": 1}

@@ -8,13 +8,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..operators.container import FormatError, split
+from ..operators.container import SUFFIX, FormatError, split
 
 SCHEMA = "path string, bits int, mode string, symbol_count long, payload_length long, model_id string, data binary, error string"
 
 
 class BitstreamSource(DataSource):
-    """Options: path, suffix (.nvc). Rows to write need name (without suffix) and data."""
+    """Options: path, suffix. Rows to write need name (without suffix) and data."""
 
     @classmethod
     def name(cls) -> str:
@@ -41,7 +41,7 @@ class _Reader(DataSourceReader):
     TASK_BYTES = 1 << 26
 
     def __init__(self, options):
-        self.path, self.suffix = options["path"], options.get("suffix", ".nvc")
+        self.path, self.suffix = options["path"], options.get("suffix", SUFFIX)
 
     def partitions(self) -> list[_Paths]:
         files, root = pafs.FileSystem.from_uri(self.path)
@@ -72,7 +72,7 @@ class _Reader(DataSourceReader):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options, columns: list[str]):
-        self.path, self.suffix = options["path"], options.get("suffix", ".nvc")
+        self.path, self.suffix = options["path"], options.get("suffix", SUFFIX)
         self.at = columns.index("name"), columns.index("data")
 
     def write(self, iterator) -> WriterCommitMessage:

@@ -141,7 +141,8 @@ def test_files_of_containers(spark, tmp_path):
     blob = container.join(HEADER, b"abcde")
     spark.createDataFrame([("a", blob), ("b", blob[:-1])], "name string, data binary").coalesce(1).write.format("bitstream").mode("append").save(str(tmp_path))
     got = {r.path.rsplit("/", 1)[1]: (r.bits, r.symbol_count, r.error) for r in spark.read.format("bitstream").load(str(tmp_path)).collect()}
-    assert got == {"a.nvc": (8, 32, None), "b.nvc": (None, None, "payload_cut")} and (tmp_path / "a.nvc").read_bytes() == blob
+    a, b = (f"{n}{container.SUFFIX}" for n in "ab")
+    assert got == {a: (8, 32, None), b: (None, None, "payload_cut")} and (tmp_path / a).read_bytes() == blob
 
 
 def latent(spark, values):
