@@ -57,11 +57,12 @@ def test_words_that_give_an_entity_away(docs):
     rows.append((999, "quux one@else.org\nquux one@else.org"))
     found = {r.doc_id: r for r in find_pii(docs(rows), share=0.8).collect()}
     terms = {x.v for r in found.values() for x in r.spans if x.k == 4}
-    lines = {l for _, t in rows for l in t.split("\n")}
-    has = lambda w: {l for l in lines if w in re.findall(r"[^\x20\x09-\x0D]+", l)}
-    own = {l for l in lines if "me@corp.example.com" in l}
+    lines = [l for _, t in rows for l in t.split("\n")]
+    has = lambda w, of: [l for l in of if w in re.findall(r"[^\x20\x09-\x0D]+", l)]
+    own = [l for l in lines if "me@corp.example.com" in l]
     info = math.log2(len(lines) / len(own))
-    expected = {w for l in own for w in l.split() if "@" not in w and len(has(w) & own) >= 3 and math.log2(len(lines) * len(has(w) & own) / len(own) / len(has(w))) >= 0.8 * info}
+    told = lambda w: math.log2(len(lines) * len(has(w, own)) / len(own) / len(has(w, lines)))
+    expected = {w for l in own for w in l.split() if "@" not in w and len(set(has(w, own))) >= 3 and told(w) >= 0.8 * info}
     assert terms == expected and "mail" in terms and not terms & set(common)
     clean = {r.doc_id: r.text for r in sanitise(docs(rows), share=0.8).collect()}
     assert "[TERM] [EMAIL]" in clean[0] and "mail" not in clean[0].split("\n")[0] and clean[1] == rows[1][1] and clean[999] == "quux [EMAIL]\nquux [EMAIL]"
