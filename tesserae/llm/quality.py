@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_types"]
 BASE = STATS[:5]
@@ -151,6 +151,7 @@ def quality_rules(
     both kinds. Null and empty texts have no words and fail the base rules. Ids may be null or repeat: each row has its own result.
     Other columns are ignored.
     """
+    small_batches(df.sparkSession)
     rows = stage(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), statistics(F.col(text_col)).alias("s")).select("doc_id", "text_key", "s.*"), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)

@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters indexed at once, cached words of a Python worker, and characters of text whose words are looked up together.
-INDEX_CHARS, CACHED_WORDS, BATCH_CHARS = 1 << 18, 400_000, 1 << 21
+INDEX_CHARS, CACHED_WORDS, BATCH_CHARS = 1 << 18, 200_000, 1 << 21
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -339,6 +339,17 @@ def load_model(path: str) -> Model:
     return model
 
 
+#: The model that this Python worker used last: workers outlive queries, and only one model keeps a cache.
+_LAST: list[Model] = []
+
+
+def _only(model: Model) -> Model:
+    if _LAST and _LAST[0] is not model:
+        _LAST[0].cache.clear()
+    _LAST[:] = [model]
+    return model
+
+
 def encode(df: DataFrame, model: Model, *, text_col: str = "text", to: str = "ids") -> DataFrame:
     """df with the array column ``to``: the piece ids of each text, those of the library's encoder. A null or empty text has no pieces.
 
@@ -350,7 +361,7 @@ def encode(df: DataFrame, model: Model, *, text_col: str = "text", to: str = "id
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.encode([t if isinstance(t, str) else None for t in texts]), dtype=object)
+        return pd.Series(_only(shared.value).encode([t if isinstance(t, str) else None for t in texts]), dtype=object)
 
     # not deterministic as far as the optimizer goes: else it runs the function once for each use of its result
     return df.withColumn(to, udf.asNondeterministic()(F.col(text_col)))

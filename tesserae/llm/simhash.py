@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, connected_components, salted_lookup, stage
+from .common import ascii_lower, connected_components, salted_lookup, small_batches, stage
 
 #: Aimed rows of a route's table, and those above which it is cut into chunks.
 TABLE_ROWS, CHUNK_ROWS = 8192, 65536
@@ -192,6 +192,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     fingerprints are one node, so exact copies cost one row. Ids may repeat: such rows have one result each. A null id gets a
     result, and never names a component unless it stands alone (then null). Other columns are ignored. An empty table gives one.
     """
+    small_batches(df.sparkSession)
     docs = stage(df.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
     prints = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "prints")
     edges = hamming_forest(prints.select("fp"), distance=distance, segments=segments)
@@ -222,6 +223,7 @@ def similar_groups(
     of its fingerprint: a linear number, however large a group is. Texts equal after lower-casing A-Z are one; two texts without words are
     alike. Null counts as empty, and a null id as larger than all others.
     """
+    small_batches(df.sparkSession)
     key = F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")))
     docs = stage(df.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), fingerprint(F.col(text_col), width).alias("fp")), "prints")
     texts = stage(docs.groupBy("text_key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "texts")
