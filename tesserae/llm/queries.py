@@ -11,7 +11,7 @@ from .lines import line_report
 from .mixing import mix_sources
 from .pii import find_pii, joined_spans
 from .quality import quality_rules
-from .sentencepiece_codec import decode, encode, load_model
+from .sentencepiece_codec import load_model, round_trip
 from .sharding import LIMIT, assign_shards
 from .simhash import near_duplicates
 from .warc import archived_pages
@@ -42,7 +42,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = load_model(PIECES)
-    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    coded = round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     same = F.col("decoded").eqNullSafe(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" ")))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 
