@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the words that give them away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Those values are the protected entities. Over all lines of the
-corpus, df counts lines, repeated ones included: an entity's information is IC(e) = log2(N / df(e)), and a word discloses PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of
+Patterns find e-mail addresses, IP addresses, card and phone numbers. Those values are the protected entities. Over the corpus's distinct
+lines, df counts lines: an entity's information is IC(e) = log2(N / df(e)), and a word discloses PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of
 it. A word that discloses at least a given share of IC(e), in enough different lines, is sanitised where it stands in a line with e.
 
 Everything is built-in functions. No pattern matches across lines. The patterns are written so that no search is worse than linear and no
@@ -89,19 +89,19 @@ def _words(line: Column) -> Column:
 def disclosing_terms(lines: DataFrame, texts: DataFrame, *, share: float, support: int) -> DataFrame:
     """(v, t): words that disclose ``share`` or more of an entity's information, in ``support`` or more distinct lines with it.
 
-    lines: (line, found) of lines with entities; texts: column t of all texts, over whose lines words and lines are counted. Only the
-    counts of words that stand beside an entity often enough are shuffled, summed in each task before.
+    lines: (line, found) of lines with entities; texts: column t of all texts, over whose distinct lines words and lines are counted. A line
+    is shuffled once, after each task has dropped its own repeats; its words are summed in each task before they are shuffled.
     """
     own = lines.select(F.xxhash64("line").alias("key"), "line", F.explode("found").alias("v"))
-    own = own.groupBy("key", "v").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
-    often = own.groupBy("v").agg(F.sum("n").alias("df_v"), F.count("*").alias("distinct")).where(F.col("distinct") >= support).drop("distinct")
-    beside = own.join(often, "v").select("v", "df_v", "n", F.explode(_words("line")).alias("t")).where("not contains(t, v) and not contains(v, t)")
-    pairs = beside.groupBy("v", "df_v", "t").agg(F.sum("n").alias("df_vt"), F.count("*").alias("distinct")).where(F.col("distinct") >= support)
-    pairs = stage(pairs.drop("distinct"), "cooccur")
-    every = texts.select(F.explode(F.split("t", "\n", -1)).alias("line"))
-    total = every.agg(F.count("*").alias("n"))
+    own = own.groupBy("key", "v").agg(F.any_value("line").alias("line"))
+    often = own.groupBy("v").agg(F.count("*").alias("df_v")).where(F.col("df_v") >= support)
+    beside = own.join(often, "v").select("v", "df_v", F.explode(_words("line")).alias("t")).where("not contains(t, v) and not contains(v, t)")
+    pairs = stage(beside.groupBy("v", "df_v", "t").agg(F.count("*").alias("df_vt")).where(F.col("df_vt") >= support), "cooccur")
+    every = texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line"))
+    total = every.select("key").distinct().agg(F.count("*").alias("n"))
     asked = pairs.select("t").distinct()
-    words = every.select(F.explode(_words("line")).alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
+    once = every.groupBy("key").agg(F.any_value("line").alias("line"))
+    words = once.select(F.explode(_words("line")).alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
     known = pairs.join(words, "t").crossJoin(total)  # total is one row
     info = F.log2(F.col("n") / F.col("df_v"))
     mutual = F.log2(F.col("n") * F.col("df_vt") / F.col("df_v") / F.col("df_t"))

@@ -69,6 +69,21 @@ def test_words_that_give_an_entity_away(docs):
     assert find_pii(docs([])).count() == 0 and sanitise(docs([(1, None)])).first().text is None
 
 
+def test_copies_of_a_line_do_not_decide_disclosure(docs):
+    rng = random.Random(3)
+    filler = lambda: " ".join(f"f{rng.randint(0, 10**6)}" for _ in range(4))
+    rows = [f"{filler()} zorblax hot me@corp.example.com {i}x" for i in range(10)] + [filler() for _ in range(60)] + [f"{filler()} hot" for _ in range(6)]
+    # a copied line with the word hides it, one with word and entity gives an ordinary word away
+    rows += ["zorblax alone"] * 300 + ["hot me@corp.example.com"] * 200
+    lines = set(rows)
+    has = lambda w: {l for l in lines if w in l.split()}
+    own = has("me@corp.example.com")
+    told = lambda w: math.log2(len(lines) * len(has(w) & own) / len(own) / len(has(w))) / math.log2(len(lines) / len(own))
+    expected = {w for l in own for w in l.split() if "@" not in w and len(has(w) & own) >= 3 and told(w) >= 0.9}
+    found = find_pii(docs([(i, t) for i, t in enumerate(rows)])).collect()
+    assert {x.v for r in found for x in r.spans if x.k == 4} == expected == {"zorblax"}
+
+
 def brute_shards(rows, limit, seed="shard"):
     hashed = [(i, int(hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:15], 16), len((t or "").encode())) for i, t in rows]
     out = Counter()
