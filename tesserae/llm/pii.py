@@ -67,16 +67,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS[:4]))))
 
 
+def _bare(line: Column, start: Column, spans: Column) -> Column:
+    """The line with a line feed, which no line has, in place of each span. Spans count from ``start`` characters before the line."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        s, e = x["s"] - start, x["e"] - start
+        gap = F.substring(line, acc["at"] + 1, F.greatest(s - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], e).cast("int").alias("at"), F.concat(acc["out"], gap, F.lit("\n")).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(line, a["at"] + 1, F.length(line))))
+
+
 def _entity_lines(text: Column, spans: Column) -> Column:
-    """The lines that have spans: (start, line, values)."""
+    """The lines that have spans: (start, line, values, bare, taken); bare has a line feed for each span, taken where in the text spans are."""
     lines = F.split(text, "\n", -1)
-    kind = "array<struct<start:int,line:string,found:array<string>>>"
+    kind = "array<struct<start:int,line:string,found:array<string>,bare:string,taken:array<struct<s:int,e:int>>>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
 
     def step(acc, line):
         end = acc["at"] + F.length(line)
-        own = F.transform(F.filter(spans, lambda x: (x["s"] >= acc["at"]) & (x["s"] < end)), lambda x: x["v"])
-        row = F.struct(acc["at"].alias("start"), line.alias("line"), F.array_distinct(own).alias("found"))
+        own = F.filter(spans, lambda x: (x["s"] >= acc["at"]) & (x["s"] < end))
+        values, taken = F.array_distinct(F.transform(own, lambda x: x["v"])), F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        row = F.struct(acc["at"].alias("start"), line.alias("line"), values.alias("found"), _bare(line, acc["at"], own).alias("bare"), taken.alias("taken"))
         return F.struct((end + 1).cast("int").alias("at"), F.when(F.size(own) > 0, F.array_append(acc["kept"], row)).otherwise(acc["kept"]).cast(kind).alias("kept"))
 
     return F.when(F.size(spans) > 0, F.aggregate(lines, zero, step)["kept"]).otherwise(F.array().cast(kind))
@@ -86,16 +99,22 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
 
 
+def _free_words(bare: Column) -> Column:
+    """Words that no span touches: those not beside a line feed."""
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"(?<!\n)(?<!{WORD[:-1]}){WORD}+(?!\n)"), F.lit(0)))
+
+
 def disclosing_terms(lines: DataFrame, texts: DataFrame, *, share: float, support: int) -> DataFrame:
     """(v, t): words that disclose ``share`` or more of an entity's information, in ``support`` or more distinct lines with it.
 
-    lines: (line, found) of lines with entities; texts: column t of all texts, over whose distinct lines words and lines are counted. A line
-    is shuffled once, after each task has dropped its own repeats; its words are summed in each task before they are shuffled.
+    Words beside an entity are those of its line that no base span touches. lines: (line, found, bare) of lines with entities; texts: column t
+    of all texts, over whose distinct lines words and lines are counted. A line is shuffled once, after each task has dropped its own repeats;
+    its words are summed in each task before they are shuffled.
     """
-    own = lines.select(F.xxhash64("line").alias("key"), "line", F.explode("found").alias("v"))
-    own = own.groupBy("key", "v").agg(F.any_value("line").alias("line"))
+    own = lines.select(F.xxhash64("line").alias("key"), "bare", F.explode("found").alias("v"))
+    own = own.groupBy("key", "v").agg(F.any_value("bare").alias("bare"))
     often = own.groupBy("v").agg(F.count("*").alias("df_v")).where(F.col("df_v") >= support)
-    beside = own.join(often, "v").select("v", "df_v", F.explode(_words("line")).alias("t")).where("not contains(t, v) and not contains(v, t)")
+    beside = own.join(often, "v").select("v", "df_v", F.explode(_free_words(F.col("bare"))).alias("t"))
     pairs = stage(beside.groupBy("v", "df_v", "t").agg(F.count("*").alias("df_vt")).where(F.col("df_vt") >= support), "cooccur")
     every = texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line"))
     total = every.select("key").distinct().agg(F.count("*").alias("n"))
@@ -111,19 +130,20 @@ def disclosing_terms(lines: DataFrame, texts: DataFrame, *, share: float, suppor
 def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, support: int = 3) -> DataFrame:
     """One row per input row: doc_id, key (hash of the text), spans (array of (s, k, e, v), k numbering KINDS, sorted).
 
-    Base spans are always there; terms are added by disclosure.
+    Base spans are always there; terms are added by disclosure, where no base span touches them.
     Null counts as empty. Rows of one text have the same spans, whatever their ids. Other columns are ignored. An empty table gives an empty one.
     """
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = texts.select("doc_id", "t", base_spans(F.col("t")).alias("spans"))
     lined = found.select("doc_id", F.xxhash64("t").alias("key"), "spans", _entity_lines(F.col("t"), F.col("spans")).alias("lines"))
     rows = stage(lined, "spans")
-    lines = rows.select("key", F.explode("lines").alias("l")).select("key", "l.start", "l.line", "l.found")
+    lines = rows.select("key", F.explode("lines").alias("l")).select("key", "l.start", "l.line", "l.found", "l.bare", "l.taken")
     told = stage(disclosing_terms(lines, texts, share=share, support=support), "terms")
-    near = lines.select("key", "start", "line", F.explode("found").alias("v")).join(told, "v").where("contains(line, t)").select("key", "start", "line", "t").distinct()
+    near = lines.select("key", "start", "line", "taken", F.explode("found").alias("v")).join(told, "v").where("contains(line, t)").select("key", "start", "line", "taken", "t").distinct()
     literal = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![^\x20\x09-\x0D])"))
-    at = near.select("key", "start", F.explode(_located(F.col("line"), literal, 4)).alias("x"))
-    at = at.select("key", F.struct((F.col("x.s") + F.col("start")).alias("s"), F.col("x.k").alias("k"), (F.col("x.e") + F.col("start")).alias("e"), F.col("x.v").alias("v")).alias("x"))
+    at = near.select("key", "start", "taken", F.explode(_located(F.col("line"), literal, 4)).alias("x"))
+    # a word is a term only where no base span touches it
+    at = at.where("not exists(taken, b -> b.s < start + x.e and b.e > start + x.s)").select("key", F.struct((F.col("x.s") + F.col("start")).alias("s"), F.col("x.k").alias("k"), (F.col("x.e") + F.col("start")).alias("e"), F.col("x.v").alias("v")).alias("x"))
     terms = at.groupBy("key").agg(F.collect_set("x").alias("terms"))
     full = salted_lookup(rows.select("doc_id", "key", "spans"), "doc_id", "key", terms)
     return full.select("doc_id", "key", F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN)))).alias("spans"))
