@@ -213,34 +213,71 @@ def _shingle_set(text, width: int):
     return udf(text)
 
 
-def similar_groups(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 6, segments: int = 3, similarity: float = 0.8
-) -> DataFrame:
+#: Bands of a text's MinHashes and rows of each: a pair at Jaccard 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5.
+BANDS, BAND_ROWS = 24, 5
+#: Texts of a bucket that are compared all with all in a round.
+CELL_ROWS = 16
+_MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key of each band of MinHashes over the shingles; one key for texts without words."""
+    if not len(hashes):
+        return [0]
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[at : at + 1024, None] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))).min(0), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _bands(text, width: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(band_keys(shingle_hashes(t, width)), np.uint64).view(np.int64) for t in texts], dtype=object)
+
+    return udf(text)
+
+
+def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct text: text_key, least (smallest id with it), root (names the group), stays (of each group, the text of least id).
 
-    Texts whose fingerprints of ``width``-word shingles are near are compared by their shingle sets, and link at a Jaccard similarity of
-    ``similarity`` or more. Compared are the links of the fingerprints' forest, which prefers near ones, and each text with the first
-    of its fingerprint: a linear number, however large a group is. Texts equal after lower-casing A-Z are one; two texts without words are
-    alike. Null counts as empty, and a null id as larger than all others.
+    Texts that share a band of MinHashes over ``width``-word shingles, a bucket, are compared by their shingle sets and link at a Jaccard
+    similarity of ``similarity`` or more (the bands are made for 0.8 and above). Only such links join groups. First each text meets the first
+    of its buckets; then, in buckets that hold several groups, texts of different groups meet in cells of about ``CELL_ROWS``, dealt anew each
+    round, until a round adds no link. A bucket no larger than a cell is compared completely. Texts equal after lower-casing A-Z are one; two
+    texts without words are alike. Null counts as empty, and a null id as larger than all others.
     """
     small_batches(df.sparkSession)
     key = F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")))
-    docs = stage(df.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), fingerprint(F.col(text_col), width).alias("fp")), "prints")
-    texts = stage(docs.groupBy("text_key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "texts")
-    prints = stage(texts.groupBy("fp").agg(F.min("text_key").alias("first")), "firsts")
-    edges = hamming_forest(prints.select("fp"), distance=distance, segments=segments)
-    across = edges.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
-    within = texts.join(prints, "fp").where("text_key != first").select(F.col("text_key").alias("u"), F.col("first").alias("v"))
-    pairs = stage(across.select("u", "v").union(within), "pairs")
-    suspects = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    docs = stage(df.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), _bands(F.col(text_col), width).alias("bands")), "bands")
+    texts = stage(docs.groupBy("text_key").agg(F.min("doc_id").alias("least")), "texts")
+    rows = docs.select("text_key", F.explode("bands").alias("bucket")).distinct()
+    full = rows.groupBy("bucket").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = stage(rows.join(full, "bucket"), "buckets")
+    suspects = buckets.select("text_key").distinct()
     suspected = df.select(key.alias("text_key"), F.col(text_col).alias("t")).join(suspects, "text_key", "left_semi")
     sets = suspected.groupBy("text_key").agg(F.any_value("t").alias("t")).select("text_key", _shingle_set(F.col("t"), width).alias("s"))
     sets = stage(sets, "sets")
-    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("s").alias("sv")), "v")
-    shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("all"))
-    links = shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n")))
-    rooted = texts.join(connected_components(links, "u", "v"), F.col("text_key") == F.col("id"), "left")
-    rooted = stage(rooted.select("text_key", "least", F.coalesce("root", "text_key").alias("root")), "rooted")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("s").alias("sv")), "v")
+        shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("all"))
+        return shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n"))).select("u", "v")
+
+    links = stage(linked(buckets.where("text_key != first").select(F.col("text_key").alias("u"), F.col("first").alias("v")).distinct()), "links")
+    turn = 0
+    while True:
+        rooted = texts.join(connected_components(links, "u", "v"), F.col("text_key") == F.col("id"), "left")
+        rooted = stage(rooted.select("text_key", "least", F.coalesce("root", "text_key").alias("root")), "rooted")
+        mine = stage(buckets.join(rooted.select("text_key", "root"), "text_key"), "apart")
+        apart = mine.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        cell = F.pmod(F.xxhash64("text_key", "bucket", F.lit(turn)), F.ceil(F.col("n") / CELL_ROWS))
+        dealt = mine.join(apart, "bucket", "left_semi").select("bucket", cell.alias("cell"), "text_key", "root")
+        a, b = dealt.withColumnsRenamed({"text_key": "u", "root": "ru"}), dealt.withColumnsRenamed({"text_key": "v", "root": "rv"})
+        found = stage(linked(a.join(b, ["bucket", "cell"]).where("u > v and ru != rv").select("u", "v").distinct()), "links")
+        if found.isEmpty():
+            break
+        links, turn = links.union(found), turn + 1
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("best"))
     return salted_lookup(rooted, "text_key", "root", best).select("text_key", "least", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
 

@@ -49,6 +49,53 @@ def test_near_copies_are_grouped_and_others_left_alone(docs):
     assert left.count() == len(groups) and left.columns == docs(rows).columns
 
 
+def jaccard(a, b, width=5):
+    s, t = set(shingle_hashes(a, width).tolist()), set(shingle_hashes(b, width).tolist())
+    return len(s & t) / len(s | t)
+
+
+def brute_groups(rows, similarity=0.8):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and jaccard(a, b) >= similarity:
+                root[find(j)] = find(i)
+    return {i: find(i) for i in root}
+
+
+def test_groups_are_those_of_plain_jaccard(docs):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(100, 300))]
+        rows.append(" ".join(words))
+        own = list(words)
+        for at in range(rng.randrange(50), len(own), rng.choice([50, 60, 75])):
+            own[at] = "changed"
+        rows.append(" ".join(own))
+    # variants of one template, of which only some are near each other
+    base = [f"t{i}" for i in range(120)]
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 3):
+            own[at] = f"v{rng.randint(0, 9)}"
+        rows.append(" ".join(own))
+    rows = list(enumerate(rows))
+    root = brute_groups(rows)
+    texts = dict(rows)
+    pairs = [(i, i + 1) for i in range(0, 80, 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    assert sum(not near(texts[i], texts[j]) for i, j in pairs) >= 5  # the bit filter missed these
+    got = {r.least: r.root for r in similar_groups(docs(rows)).collect()}
+    groups = lambda of: {frozenset(i for i in of if of[i] == r) for r in of.values()}
+    assert groups(got) == groups(root)
+
+
 def test_near_copies_of_awkward_rows(docs, awkward):
     left = drop_near_duplicates(docs(awkward)).collect()
     texts = Counter((r.text or "").translate(TABLE) for r in left)
