@@ -96,6 +96,26 @@ def test_groups_are_those_of_plain_jaccard(docs):
     assert groups(got) == groups(root)
 
 
+def test_dense_buckets_fall_apart_only_where_jaccard_does(docs, monkeypatch):
+    import tesserae.llm.simhash as m
+
+    rng = random.Random(21)
+    rows = set()
+    for _ in range(80):
+        own = [f"t{i}" for i in range(100)]
+        for at in rng.sample(range(0, 100, 10), 3):
+            own[at] = f"v{rng.randint(0, 2)}"
+        rows.add(" ".join(own))
+    rows = list(enumerate(sorted(rows)))
+    root = brute_groups(rows)
+    # cells that hold the largest bucket compare it completely, smaller ones go round until nothing is added
+    for cell in (100, 8):
+        monkeypatch.setattr(m, "CELL_ROWS", cell)
+        got = {r.least: r.root for r in similar_groups(docs(rows)).collect()}
+        groups = lambda of: {frozenset(i for i in of if of[i] == r) for r in of.values()}
+        assert groups(got) == groups(root)
+
+
 def test_near_copies_of_awkward_rows(docs, awkward):
     left = drop_near_duplicates(docs(awkward)).collect()
     texts = Counter((r.text or "").translate(TABLE) for r in left)
