@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +73,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, root): every endpoint with the smallest id it can reach, by alternating large and small stars.
 
     Each round links every node to the least neighbour known; rounds needed grow with the logarithm of a
-    component's size. Every round is a group-by with map-side minima and joins against a table that is unique in
-    the key, so hubs are split by the adaptive skew join. Empty input gives an empty table.
+    component's size. Every round is a group-by with map-side minima and salted lookups of those minima, so no task gets
+    all links of a hub. Empty input gives an empty table.
     """
     cur = stage(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc"
@@ -82,10 +83,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = salted_lookup(both, "v", "u", least, 16).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stage(large, "cc")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+        small = salted_lookup(large, "lo", "hi", low, 16).select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         nxt = stage(small.select("e.hi", "e.lo").where("hi != lo").distinct(), "cc")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         unstage(cur)
@@ -96,3 +97,89 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = tuple(now)
     nodes = cur.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     return nodes.union(cur.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
+
+
+#: Members of a bucket, or of a cell of a crowded one, that are compared all with all.
+CELL_ROWS = 16
+#: A key is hot if it has over this share of all rows, so there are at most 1 / HOT such keys, and their table is broadcast.
+HOT = 1e-4
+
+
+def split_lookup(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:
+    """Join ``table`` (staged, one row a key, n: the key's rows in ``rows``, of which there are ``total``) to ``rows``; hot keys by broadcast."""
+    hot = F.col("n") > max(CELL_ROWS, total * HOT)
+    if table.where(hot).isEmpty():
+        return rows.join(table, key)
+    warm = F.broadcast(table.where(hot))  # at most 1 / HOT rows
+    return rows.join(warm, key).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot), key))
+
+
+def linked_in_buckets(buckets: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(id, root) of every id that a verified link reaches: its component's smallest id.
+
+    buckets: distinct rows (bucket, id), both bigint; links are sought between ids of one bucket. ``verifier`` gets all ids that share a bucket
+    (column id) and returns a function of distinct pairs (u, v) that keeps those which are links. No bucket is expanded into its pairs:
+
+    1. Every member is compared with the first of its bucket; first in a quarter of the buckets, then in the others, where that
+       leaves the two unlinked.
+    2. In buckets of up to CELL_ROWS members, all pairs that are still unlinked are compared.
+    3. Larger ones are dealt into cells by a MinHash of the other buckets of each member, so that those who share more meet, and cells are compared
+       alike, larger ones in random parts. They are dealt anew each round until two rounds add no link.
+    """
+    buckets = stage(buckets, "buckets")
+    full = stage(buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    shared = stage(split_lookup(buckets, "bucket", full, buckets.count()), "shared")
+    ids = stage(shared.select("id").distinct(), "ids")
+    verified, links = verifier(ids), []
+
+    def add(pairs: DataFrame) -> bool:
+        links.append(stage(verified(pairs.distinct()), "links"))
+        return not links[-1].isEmpty()
+
+    def roots() -> DataFrame:
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return stage(connected_components(every, "u", "v"), "roots")
+
+    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        for c in ("u", "v"):
+            pairs = salted_lookup(pairs, "u", c, root.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")))
+        return pairs.where("coalesce(ru, u) != coalesce(rv, v)").select("u", "v")
+
+    star = shared.where("id != first").select("bucket", F.col("id").alias("u"), F.col("first").alias("v"))
+    quarter = F.pmod("bucket", F.lit(4)) == 0
+    add(star.where(quarter).select("u", "v"))
+    root = roots()
+    if add(apart(star.where(~quarter).select("u", "v").distinct(), root)):
+        root = roots()
+    idle, turn = 0, 0
+    while idle < 2:
+        # a bucket of two is done by its first, a small one by the first round here
+        rows = shared.where("n > 2" if turn == 0 else f"n > {CELL_ROWS}").select("bucket", "id", "n")
+        rows = salted_lookup(rows, "bucket", "id", root).select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+        rows = stage(rows, "apart")
+        open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+        rows = stage(split_lookup(rows.drop("n"), "bucket", stage(open_, "open"), rows.count()), "apart")
+        small, crowded = rows.where(f"n <= {CELL_ROWS}").withColumn("cell", F.lit(0).cast("long")), rows.where(f"n > {CELL_ROWS}")
+        if not crowded.isEmpty():
+            own = buckets.join(crowded.select("id").distinct(), "id", "left_semi")
+            least = own.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "bucket"))), 1, 2).alias("least"))
+            met = salted_lookup(crowded, "bucket", "id", least)
+            other = F.when(F.col("least")[0]["bucket"] != F.col("bucket"), F.col("least")[0]["h"]).otherwise(F.try_element_at("least", F.lit(2))["h"])
+            met = stage(met.select("bucket", "id", "root", F.coalesce(other, F.lit(0)).alias("cell")), "cells")
+            sizes = stage(met.groupBy("bucket", "cell").agg(F.count("*").alias("n")).select(F.xxhash64("bucket", "cell").alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n")), "cells")
+            met = split_lookup(met.withColumn("at", F.xxhash64("bucket", "cell")), "at", sizes, met.count())
+            part = F.pmod(F.xxhash64("id", "at", F.lit(turn)), F.ceil(F.col("n") / CELL_ROWS))
+            crowded = met.select("bucket", "id", "root", F.xxhash64("at", part).alias("cell"))
+            small = small.select("bucket", "id", "root", "cell").unionByName(crowded)
+        small = stage(small.select("bucket", "id", "root", "cell"), "cells")
+        pairs = small.select("bucket", "cell", F.col("id").alias("u"), F.col("root").alias("ru")).join(small.select("bucket", "cell", F.col("id").alias("v"), F.col("root").alias("rv")), ["bucket", "cell"])
+        if add(pairs.where("u > v and ru != rv").select("u", "v")):
+            root, idle = roots(), 0
+        else:
+            idle += 1
+        if turn == 0 and shared.where(f"n > {CELL_ROWS}").isEmpty():
+            break
+        turn += 1
+    return root
