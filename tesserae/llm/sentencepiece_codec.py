@@ -197,9 +197,10 @@ class Model:
                 j += 1
             # a line break starts a word that has no space before it
             parts = [t.replace(SPACE, " ").replace("\n", " \n").split(" ") if t else [] for t in texts[i:j]]
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
-            new = list(set().union(*parts) - self.cache.keys())
+            wanted = set().union(*parts)
+            if len(self.cache) > CACHED_WORDS:  # what this text doesn't have goes, so frequent words stay
+                self.cache = {w: self.cache[w] for w in wanted & self.cache.keys()}
+            new = list(wanted - self.cache.keys())
             a = 0
             while a < len(new):
                 b, size = a, 0
@@ -259,7 +260,8 @@ class Model:
                 bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode()
                 for p, t in zip(self.pieces, self.types, strict=True)
             ]
-        texts = (b"".join([self.surface[i] for i in (() if ids is None else ids)]).decode("utf-8", "replace") for ids in rows)
+        of = self.surface.__getitem__
+        texts = (b"".join(map(of, () if ids is None else np.asarray(ids).tolist())).decode("utf-8", "replace") for ids in rows)
         return [t[1:] if t[:1] == " " else t for t in texts]
 
 
