@@ -101,6 +101,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 #: Members of a bucket, or of a cell of a crowded one, that are compared all with all.
 CELL_ROWS = 16
+#: Deals of crowded buckets in a round.
+DEALS = 6
 #: A key is hot if it has over this share of all rows, so there are at most 1 / HOT such keys, and their table is broadcast.
 HOT = 1e-4
 
@@ -124,62 +126,63 @@ def linked_in_buckets(buckets: DataFrame, verifier: Callable[[DataFrame], Callab
        leaves the two unlinked.
     2. In buckets of up to CELL_ROWS members, all pairs that are still unlinked are compared.
     3. Larger ones are dealt into cells by a MinHash of the other buckets of each member, so that those who share more meet, and cells are compared
-       alike, larger ones in random parts. They are dealt anew each round until two rounds add no link.
+       alike, larger ones in random parts. Each round has DEALS deals, and rounds go on until one adds no link.
     """
     buckets = stage(buckets, "buckets")
     full = stage(buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
     shared = stage(split_lookup(buckets, "bucket", full, buckets.count()), "shared")
     ids = stage(shared.select("id").distinct(), "ids")
-    verified, links = verifier(ids), []
+    verified = verifier(ids)
 
-    def add(pairs: DataFrame) -> bool:
-        links.append(stage(verified(pairs.distinct()), "links"))
-        return not links[-1].isEmpty()
-
-    def roots() -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return stage(connected_components(every, "u", "v"), "roots")
-
-    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    def with_roots(pairs: DataFrame, root: DataFrame) -> DataFrame:
         for c in ("u", "v"):
             pairs = salted_lookup(pairs, "u", c, root.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")))
-        return pairs.where("coalesce(ru, u) != coalesce(rv, v)").select("u", "v")
+        return pairs.select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
+
+    def joined(root: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """root after those of the pairs that are links, and whether there are any. Only roots that links join are looked at again."""
+        links = stage(verified(pairs.distinct()), "links")
+        if links.isEmpty():
+            return root, False
+        moved = stage(connected_components(with_roots(links, root).select("ru", "rv"), "ru", "rv"), "moved")
+        to = moved.select(F.col("id").alias("root"), F.col("root").alias("to"))
+        old = salted_lookup(root, "id", "root", to).select("id", F.coalesce("to", "root").alias("root"))
+        return stage(old.unionByName(moved.join(root, "id", "left_anti")), "roots"), True
 
     star = shared.where("id != first").select("bucket", F.col("id").alias("u"), F.col("first").alias("v"))
     quarter = F.pmod("bucket", F.lit(4)) == 0
-    add(star.where(quarter).select("u", "v"))
-    root = roots()
-    if add(apart(star.where(~quarter).select("u", "v").distinct(), root)):
-        root = roots()
-    idle, turn = 0, 0
-    while idle < 2:
+    root = buckets.select("id", F.col("id").alias("root")).limit(0)
+    root, _ = joined(root, star.where(quarter).select("u", "v"))
+    root, _ = joined(root, with_roots(star.where(~quarter).select("u", "v").distinct(), root).where("ru != rv").select("u", "v"))
+    turn = 0
+    while True:
         # a bucket of two is done by its first, a small one by the first round here
-        rows = shared.where("n > 2" if turn == 0 else f"n > {CELL_ROWS}").select("bucket", "id", "n")
-        rows = salted_lookup(rows, "bucket", "id", root).select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+        rows = shared.where("n > 2" if turn == 0 else f"n > {CELL_ROWS}").select("bucket", "id")
+        rows = salted_lookup(rows, "bucket", "id", root).select("bucket", "id", F.coalesce("root", "id").alias("root"))
         rows = stage(rows, "apart")
         open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-        rows = stage(split_lookup(rows.drop("n"), "bucket", stage(open_, "open"), rows.count()), "apart")
-        small, crowded = rows.where(f"n <= {CELL_ROWS}").withColumn("cell", F.lit(0).cast("long")), rows.where(f"n > {CELL_ROWS}")
+        rows = stage(split_lookup(rows, "bucket", stage(open_, "open"), rows.count()), "apart")
+        cells = rows.where(f"n <= {CELL_ROWS}").select(F.col("bucket").alias("cell"), "id", "root")
+        crowded = rows.where(f"n > {CELL_ROWS}").drop("n")
         if not crowded.isEmpty():
-            own = buckets.join(crowded.select("id").distinct(), "id", "left_semi")
-            least = own.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "bucket"))), 1, 2).alias("least"))
-            met = salted_lookup(crowded, "bucket", "id", least)
-            other = F.when(F.col("least")[0]["bucket"] != F.col("bucket"), F.col("least")[0]["h"]).otherwise(F.try_element_at("least", F.lit(2))["h"])
-            met = stage(met.select("bucket", "id", "root", F.coalesce(other, F.lit(0)).alias("cell")), "cells")
-            sizes = stage(met.groupBy("bucket", "cell").agg(F.count("*").alias("n")).select(F.xxhash64("bucket", "cell").alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n")), "cells")
-            met = split_lookup(met.withColumn("at", F.xxhash64("bucket", "cell")), "at", sizes, met.count())
-            part = F.pmod(F.xxhash64("id", "at", F.lit(turn)), F.ceil(F.col("n") / CELL_ROWS))
-            crowded = met.select("bucket", "id", "root", F.xxhash64("at", part).alias("cell"))
-            small = small.select("bucket", "id", "root", "cell").unionByName(crowded)
-        small = stage(small.select("bucket", "id", "root", "cell"), "cells")
-        pairs = small.select("bucket", "cell", F.col("id").alias("u"), F.col("root").alias("ru")).join(small.select("bucket", "cell", F.col("id").alias("v"), F.col("root").alias("rv")), ["bucket", "cell"])
-        if add(pairs.where("u > v and ru != rv").select("u", "v")):
-            root, idle = roots(), 0
-        else:
-            idle += 1
-        if turn == 0 and shared.where(f"n > {CELL_ROWS}").isEmpty():
+            seeds = F.array(*(F.lit(DEALS * turn + k) for k in range(DEALS)))
+            hashed = buckets.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "bucket", F.explode(seeds).alias("seed"))
+            # the least and the next, as the bucket itself doesn't count
+            least = hashed.groupBy("id", "seed").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("bucket", "seed").alias("h"), "bucket"))), 1, 2).alias("least"))
+            least = least.groupBy("id").agg(F.collect_list(F.struct("seed", "least")).alias("deals"))
+            met = salted_lookup(crowded, "bucket", "id", least).select("bucket", "id", "root", F.explode("deals").alias("x"))
+            other = F.filter("x.least", lambda y: y["bucket"] != F.col("bucket"))
+            met = stage(met.select("id", "root", F.col("x.seed").alias("seed"), F.xxhash64("bucket", "x.seed", F.try_element_at(other, F.lit(1))["h"]).alias("at")), "cells")
+            sizes = stage(met.groupBy("at").agg(F.count("*").alias("n")), "cells")
+            met = split_lookup(met, "at", sizes, met.count())
+            part = F.pmod(F.xxhash64("id", "at", "seed"), F.ceil(F.col("n") / CELL_ROWS))
+            cells = cells.unionByName(met.select(F.xxhash64("at", part).alias("cell"), "id", "root"))
+        cells = stage(cells, "cells")
+        pairs = cells.select("cell", F.col("id").alias("u"), F.col("root").alias("ru")).join(cells.select("cell", F.col("id").alias("v"), F.col("root").alias("rv")), "cell")
+        root, more = joined(root, pairs.where("u > v and ru != rv").select("u", "v"))
+        if turn > 0 and not more:
+            break
+        if full.where(f"n > {CELL_ROWS}").isEmpty():
             break
         turn += 1
     return root

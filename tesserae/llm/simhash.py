@@ -20,11 +20,11 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, connected_components, salted_lookup, small_batches, stage
+from .common import ascii_lower, connected_components, linked_in_buckets, salted_lookup, small_batches, stage, unstage
 
 #: Aimed rows of a route's table, and those above which it is cut into chunks.
 TABLE_ROWS, CHUNK_ROWS = 8192, 65536
@@ -215,8 +215,6 @@ def _shingle_set(text, width: int):
 
 #: Bands of a text's MinHashes and rows of each: a pair at Jaccard 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5.
 BANDS, BAND_ROWS = 24, 5
-#: Texts of a bucket that are compared all with all in a round.
-CELL_ROWS = 16
 _MIX = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 
 
@@ -238,53 +236,53 @@ def _bands(text, width: int):
     return udf(text)
 
 
+def _text_key(text) -> Column:
+    return F.md5(F.coalesce(ascii_lower(text), F.lit("")))
+
+
 def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per distinct text: text_key, least (smallest id with it), root (names the group), stays (of each group, the text of least id).
+    """One row per distinct text: text_key (MD5), least (smallest id with it), copies (rows), root (names the group), stays (of each group, the text
+    of least id).
 
     Texts that share a band of MinHashes over ``width``-word shingles, a bucket, are compared by their shingle sets and link at a Jaccard
-    similarity of ``similarity`` or more (the bands are made for 0.8 and above). Only such links join groups. First each text meets the first
-    of its buckets; then, in buckets that hold several groups, texts of different groups meet in cells of about ``CELL_ROWS``, dealt anew each
-    round, until a round adds no link. A bucket no larger than a cell is compared completely. Texts equal after lower-casing A-Z are one; two
-    texts without words are alike. Null counts as empty, and a null id as larger than all others.
+    similarity of ``similarity`` or more (the bands are made for 0.8 and above). Only such links join groups; ``linked_in_buckets`` says which
+    members of a bucket are compared. Texts equal after lower-casing A-Z are one; two texts without words are alike. Null counts as empty, and a
+    null id as larger than all others.
     """
     small_batches(df.sparkSession)
-    key = F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")))
-    docs = stage(df.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), _bands(F.col(text_col), width).alias("bands")), "bands")
-    texts = stage(docs.groupBy("text_key").agg(F.min("doc_id").alias("least")), "texts")
-    rows = docs.select("text_key", F.explode("bands").alias("bucket")).distinct()
-    full = rows.groupBy("bucket").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = stage(rows.join(full, "bucket"), "buckets")
-    suspects = buckets.select("text_key").distinct()
-    suspected = df.select(key.alias("text_key"), F.col(text_col).alias("t")).join(suspects, "text_key", "left_semi")
-    sets = suspected.groupBy("text_key").agg(F.any_value("t").alias("t")).select("text_key", _shingle_set(F.col("t"), width).alias("s"))
-    sets = stage(sets, "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("s").alias("sv")), "v")
-        shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("all"))
-        return shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n"))).select("u", "v")
-
-    links = stage(linked(buckets.where("text_key != first").select(F.col("text_key").alias("u"), F.col("first").alias("v")).distinct()), "links")
-    turn = 0
-    while True:
-        rooted = texts.join(connected_components(links, "u", "v"), F.col("text_key") == F.col("id"), "left")
-        rooted = stage(rooted.select("text_key", "least", F.coalesce("root", "text_key").alias("root")), "rooted")
-        mine = stage(buckets.join(rooted.select("text_key", "root"), "text_key"), "apart")
-        apart = mine.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        cell = F.pmod(F.xxhash64("text_key", "bucket", F.lit(turn)), F.ceil(F.col("n") / CELL_ROWS))
-        dealt = mine.join(apart, "bucket", "left_semi").select("bucket", cell.alias("cell"), "text_key", "root")
-        a, b = dealt.withColumnsRenamed({"text_key": "u", "root": "ru"}), dealt.withColumnsRenamed({"text_key": "v", "root": "rv"})
-        found = stage(linked(a.join(b, ["bucket", "cell"]).where("u > v and ru != rv").select("u", "v").distinct()), "links")
-        if found.isEmpty():
-            break
-        links, turn = links.union(found), turn + 1
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("best"))
-    return salted_lookup(rooted, "text_key", "root", best).select("text_key", "least", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
+    docs = df.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
+    rows = stage(docs.select("doc_id", "text_key", _bands(F.col("t"), width).alias("bands")), "bands")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    # numbers that hold once they are written
+    texts = stage(texts.select(F.monotonically_increasing_id().alias("id"), "*"), "texts")
+    unstage(rows)
+
+    def verifier(ids: DataFrame):
+        told = texts.join(ids, "id", "left_semi").select("id", F.col("text_key").alias("key"), "least")
+        own = docs.join(told, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        sets = stage(own.select("id", _shingle_set(F.col("t"), width).alias("s")), "sets").dropDuplicates(["id"])
+        x, y = sets.select(F.col("id").alias("u"), F.col("s").alias("x")), sets.select(F.col("id").alias("v"), F.col("s").alias("y"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            shared = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
+            return shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n"))).select("u", "v")
+
+        return verified
+
+    linked = linked_in_buckets(texts.select(F.explode("bands").alias("bucket"), "id").distinct(), verifier)
+    rooted = texts.drop("bands").join(linked, "id", "left").select("id", "text_key", "least", "copies", F.coalesce("root", "id").alias("root"))
+    rooted = stage(rooted, "rooted")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("best"))
+    return salted_lookup(rooted, "id", "root", best).select("text_key", "least", "copies", "root", (F.col("id") == F.col("best.id")).alias("stays"))
 
 
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each group of ``similar_groups``: that of the smallest id; all columns."""
-    stays = similar_groups(df, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("text_key").alias("__near_stays"), F.col("least").alias("__near_least"))
-    keyed = df.withColumn("__near_key", F.xxhash64(F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))))
+    stays = similar_groups(df, id_col=id_col, text_col=text_col, **options).where("stays")
+    stays = stage(stays.select(F.col("text_key").alias("__near_stays"), F.col("least").alias("__near_least"), F.col("copies").alias("__near_copies")), "stays")
+    keyed = df.withColumn("__near_key", _text_key(F.col(text_col)))
     own = keyed.join(stays, (F.col("__near_key") == F.col("__near_stays")) & F.col(id_col).eqNullSafe(F.col("__near_least")))
-    return own.dropDuplicates(["__near_key"]).select(*df.columns)
+    # only texts of several rows can have one of them twice
+    if not stays.where("__near_copies > 1").isEmpty():
+        own = own.where("__near_copies = 1").unionByName(own.where("__near_copies > 1").dropDuplicates(["__near_key"]))
+    return own.select(*df.columns)
