@@ -12,7 +12,7 @@ from .mixing import mix_sources
 from .pii import find_pii, joined_spans
 from .quality import quality_rules
 from .sentencepiece_codec import load_model, round_trip
-from .sharding import LIMIT, assign_shards
+from .sharding import assign_shards
 from .simhash import near_duplicates
 from .warc import archived_pages
 
@@ -107,8 +107,12 @@ FROM t LEFT JOIN g USING (payload_digest)
 """
 
 
+#: Bytes of a shard in the query: small enough that buckets split on tables of a few megabytes, too.
+SHARD_BYTES = 1 << 18
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES).drop("text")
 
 
 OP9_SQL = f"""
@@ -116,8 +120,8 @@ WITH t AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS b,
                   ('0x' || substr(md5('shard:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
      d AS (SELECT doc_id, b, h, depth, h >> (60 - depth) AS q FROM t, (SELECT unnest(range(0, 25))::INT AS depth)),
      s AS (SELECT depth, q, sum(b)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) = max(h) AS one FROM d GROUP BY depth, q),
-     l AS (SELECT d.doc_id, d.h, min(depth) AS shard_depth FROM d JOIN s USING (depth, q) WHERE shard_bytes <= {LIMIT} OR one GROUP BY ALL)
-SELECT l.doc_id, CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(q), shard_depth, '0') END AS shard, shard_depth, shard_bytes, shard_docs, shard_bytes <= {LIMIT} AS shard_fits
+     l AS (SELECT d.doc_id, d.h, min(depth) AS shard_depth FROM d JOIN s USING (depth, q) WHERE shard_bytes <= {SHARD_BYTES} OR one GROUP BY ALL)
+SELECT l.doc_id, CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(q), shard_depth, '0') END AS shard, shard_depth, shard_bytes, shard_docs, shard_bytes <= {SHARD_BYTES} AS shard_fits
 FROM l JOIN s ON s.depth = shard_depth AND s.q = l.h >> (60 - shard_depth)
 """
 

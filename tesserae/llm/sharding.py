@@ -15,6 +15,8 @@ from .mixing import HASH_BITS, hash60
 
 STEP = 8
 LIMIT = 1 << 26
+#: Directories of so many bits or fewer, 65,536 rows at most, are broadcast.
+BROADCAST_BITS = 16
 
 
 def _directory(live: DataFrame, done: int, step: int, limit: int) -> DataFrame:
@@ -41,28 +43,29 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = ["shard", "shard_depth", "shard_bytes", "shard_docs", "shard_fits"]
     rows = df.drop(*names).withColumns({"__shard_h": hash60(F.col(id_col), seed), "__shard_b": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")})
     live = stage(rows.select(F.col("__shard_h").alias("h"), F.col("__shard_b").alias("b")), "sizes")
-    parts, done = [], 0
+    done, found = 0, []
     while True:
         step = min(STEP, HASH_BITS - done)
         directory = _directory(live, done, step, limit)
-        shift = HASH_BITS - done - step
-        met = rows.withColumn("__shard_p", F.shiftright("__shard_h", shift)).join(directory.withColumnsRenamed({c: f"__shard_{c}" for c in directory.columns}), "__shard_p")
-        ready = met.where("__shard_depth IS NOT NULL")
-        bits = F.when(F.col("__shard_depth") == 0, "").otherwise(F.expr("lpad(bin(__shard_prefix), __shard_depth, '0')"))
-        parts.append(ready.select(
-            *df.drop(*names).columns, bits.alias("shard"), F.col("__shard_depth").alias("shard_depth"), F.col("__shard_shard_bytes").alias("shard_bytes"),
-            F.col("__shard_shard_docs").alias("shard_docs"), F.col("__shard_fits").alias("shard_fits"),
-        ))
-        open_ = directory.where("depth IS NULL").select("p")
         done += step
-        if done >= HASH_BITS or not open_.limit(1).count():
+        found.append((done, directory.where("depth IS NOT NULL")))
+        open_ = directory.where("depth IS NULL").select("p")
+        if done >= HASH_BITS or open_.isEmpty():
             break
-        live = stage(live.withColumn("p", F.shiftright("h", shift)).join(open_, "p", "left_semi").drop("p"), "sizes")
-        rows = met.where("__shard_depth IS NULL").select(*rows.columns)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        live = stage(live.withColumn("p", F.shiftright("h", HASH_BITS - done)).join(open_, "p", "left_semi").drop("p"), "sizes")
+    # a row is in one directory only: one pass over the rows asks them all
+    fields = ["depth", "prefix", "shard_bytes", "shard_docs", "fits"]
+    for bits, directory in found:
+        entry = directory.select(F.col("p").alias(f"__shard_p{bits}"), F.struct(*fields).alias(f"__shard_e{bits}"))
+        # a directory of so many bits has 2^bits rows at most
+        entry = F.broadcast(entry) if bits <= BROADCAST_BITS else entry
+        rows = rows.withColumn(f"__shard_p{bits}", F.shiftright("__shard_h", HASH_BITS - bits)).join(entry, f"__shard_p{bits}", "left")
+    met = rows.withColumn("__shard_e", F.coalesce(*(f"__shard_e{bits}" for bits, _ in found)))
+    bits = F.when(F.col("__shard_e.depth") == 0, "").otherwise(F.expr("lpad(bin(__shard_e.prefix), __shard_e.depth, '0')"))
+    return met.select(
+        *df.drop(*names).columns, bits.alias("shard"), F.col("__shard_e.depth").alias("shard_depth"), F.col("__shard_e.shard_bytes").alias("shard_bytes"),
+        F.col("__shard_e.shard_docs").alias("shard_docs"), F.col("__shard_e.fits").alias("shard_fits"),
+    )
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
