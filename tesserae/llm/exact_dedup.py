@@ -1,11 +1,12 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Rows are dealt into ``fan_in ** levels`` runs by a hash of their id, so the copies of a hot text lie in all runs.
-Each run is reduced to one row a digest. In every round, groups of ``fan_in`` partner runs exchange rows: one base-``fan_in``
-digit of the run number gives way to the matching digit of the digest, and rows of equal digest that meet are merged into one,
-with the extreme identifier, the sum of the counts, and the check that their lengths and second digests agree. After the last round
-the run number is a prefix of the digest, so every digest lies in one run, no run holds more than its share, and a hot text
-was never more than ``fan_in`` rows in one place. Decisions travel down the same tree: keys are unique on one side of each join.
+Rows are dealt into ``fan_in ** levels`` runs by a hash of their id, so the copies of a hot text lie in all runs. Each run is sorted by digest
+and reduced to one row a digest. In every round, groups of ``fan_in`` partner runs exchange rows: one base-``fan_in`` digit of the run number
+gives way to the matching digit of the digest, and the partners' rows are merged in the order of their digests, by a sort within the partition
+and a sorted aggregate. Those of equal digest become one, with the extreme identifier, the sum of the counts, and the check that
+their lengths and second digests agree. After the last round the run number is a prefix of the digest, so every digest lies in one run, no
+run holds more than its share, and a hot text was never more than ``fan_in`` rows in one place. Decisions travel down the same tree: keys are
+unique on one side of each join.
 """
 
 from __future__ import annotations
@@ -28,18 +29,17 @@ def _digests(df: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
 
 
 def _merge(rows: DataFrame, keep: str) -> DataFrame:
-    """One row a (run, digest). kept_rows: how many rows have the identifier that stays."""
+    """One row a (run, digest), by merging sorted runs: the rows of a run, which come from several partners, are in one task in the order of their
+    digests, and each digest's rows, side by side, become one."""
     best = F.max if keep == "max" else F.min
-    out = rows.groupBy("run", "digest").agg(
-        best("keep_id").alias("keep_id"),
-        F.sum("size").alias("size"),
-        F.min("check").alias("c0"), F.max("check").alias("c1"),
-        F.min("n_bytes").alias("b0"), F.max("n_bytes").alias("b1"),
-    )
-    verified = F.when((F.col("c0") == F.col("c1")) & (F.col("b0") == F.col("b1")), F.col("size")).otherwise(
-        F.raise_error(F.lit("texts of equal SHA-256 differ"))
-    )
-    return out.select("run", "digest", "keep_id", verified.cast("long").alias("size"), F.col("c0").alias("check"), F.col("b0").alias("n_bytes"))
+    runs = rows.repartition("run").sortWithinPartitions("run", "digest")
+    # structs are compared while the order is walked; nothing is hashed
+    out = runs.groupBy("run", "digest").agg(
+        best(F.struct(F.col("keep_id").isNotNull().alias("some") if keep == "max" else F.col("keep_id").isNull().alias("none"), "keep_id")).alias("best"),
+        F.sum("size").alias("size"), F.min(F.struct("check", "n_bytes")).alias("low"), F.max(F.struct("check", "n_bytes")).alias("high"),
+    )
+    verified = F.when(F.col("low") == F.col("high"), F.col("size")).otherwise(F.raise_error(F.lit("texts of equal SHA-256 differ")))
+    return out.select("run", "digest", "best.keep_id", verified.cast("long").alias("size"), "low.check", "low.n_bytes")
 
 
 def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 16, levels: int = 2) -> DataFrame:
