@@ -1,6 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the words that give them away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Those values are the protected entities. Over the corpus's distinct
+Patterns find e-mail addresses, IP addresses, card and phone numbers. The protected entities are those values, which must not be told by the words
+beside them, and the four kinds: that a line has an address or a number must not be told either once that is gone. Over the corpus's distinct
 lines, df counts lines: an entity's information is IC(e) = log2(N / df(e)), and a word discloses PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of
 it. A word that discloses at least a given share of IC(e), in enough different lines, is sanitised where it stands in a line with e.
 
@@ -42,19 +43,26 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of integers, in steps of 64: what a place needs is the sum of its step so far and that of the steps before."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: (x + y).cast("int"))
+    within = lambda x: F.transform(x["own"], lambda _, k: (x["before"] + total(F.slice(x["own"], 1, k + 1))).cast("int"))
+    before = lambda steps, sums: F.transform(steps, lambda own, i: F.struct(total(F.slice(sums, 1, i)).alias("before"), own.alias("own")))
+    steps = _bind(lengths, lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / 64).cast("int")), lambda i: F.slice(a, i * 64 + 1, 64)))
+    return _bind(steps, lambda st: _bind(F.transform(st, total), lambda sums: F.flatten(F.transform(before(st, sums), within))))
+
+
 def _located(text: Column, pattern: Column, kind: int) -> Column:
     """Spans of all matches, by code points: what lies between matches, and the matches, give the starts."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["v"])
-        span = F.struct(s.cast("int").alias("s"), F.lit(kind).alias("k"), e.cast("int").alias("e"), x["v"].alias("v"))
-        return F.struct(e.cast("int").alias("at"), F.array_append(acc["spans"], span).cast(_SPAN).alias("spans"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, gap: F.struct(v.alias("v"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["spans"]).otherwise(F.array().cast(_SPAN))
+    ends = _running(F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, gap: F.length(v) + F.length(gap)))
+    spans = F.zip_with(ends, found, lambda e, v: F.struct((e - F.length(v)).alias("s"), F.lit(kind).alias("k"), e.alias("e"), v.alias("v")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array()).cast(_SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -79,20 +87,16 @@ def _bare(line: Column, start: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(line, a["at"] + 1, F.length(line))))
 
 
-def _entity_lines(text: Column, spans: Column) -> Column:
-    """The lines that have spans: (start, line, values, bare, taken); bare has a line feed for each span, taken where in the text spans are."""
-    lines = F.split(text, "\n", -1)
-    kind = "array<struct<start:int,line:string,found:array<string>,bare:string,taken:array<struct<s:int,e:int>>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
+def _starts(lines: Column) -> Column:
+    """Array of (start, line)."""
+    return F.zip_with(_running(F.transform(lines, lambda x: F.length(x) + 1)), lines, lambda e, x: F.struct((e - F.length(x) - 1).alias("start"), x.alias("line")))
 
-    def step(acc, line):
-        end = acc["at"] + F.length(line)
-        own = F.filter(spans, lambda x: (x["s"] >= acc["at"]) & (x["s"] < end))
-        values, taken = F.array_distinct(F.transform(own, lambda x: x["v"])), F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-        row = F.struct(acc["at"].alias("start"), line.alias("line"), values.alias("found"), _bare(line, acc["at"], own).alias("bare"), taken.alias("taken"))
-        return F.struct((end + 1).cast("int").alias("at"), F.when(F.size(own) > 0, F.array_append(acc["kept"], row)).otherwise(acc["kept"]).cast(kind).alias("kept"))
 
-    return F.when(F.size(spans) > 0, F.aggregate(lines, zero, step)["kept"]).otherwise(F.array().cast(kind))
+def _entities(spans: Column) -> Column:
+    """The values, as kind:value, and the kinds."""
+    names = F.array(*map(F.lit, KINDS))
+    of = F.transform(spans, lambda x: F.element_at(names, x["k"] + 1))
+    return F.array_distinct(F.concat(F.zip_with(of, spans, lambda n, x: F.concat(n, F.lit(":"), x["v"])), of))
 
 
 def _words(line: Column) -> Column:
@@ -104,46 +108,53 @@ def _free_words(bare: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"(?<!\n)(?<!{WORD[:-1]}){WORD}+(?!\n)"), F.lit(0)))
 
 
-def disclosing_terms(lines: DataFrame, texts: DataFrame, *, share: float, support: int) -> DataFrame:
-    """(v, t): words that disclose ``share`` or more of an entity's information, in ``support`` or more distinct lines with it.
+def disclosing_terms(own: DataFrame, texts: DataFrame, *, share: float, support: int) -> DataFrame:
+    """(line_key, terms): the words of a line that disclose ``share`` or more of the information of one of its entities, in ``support`` or more
+    distinct lines with it.
 
-    Words beside an entity are those of its line that no base span touches. lines: (line, found, bare) of lines with entities; texts: column t
-    of all texts, over whose distinct lines words and lines are counted. A line is shuffled once, after each task has dropped its own repeats;
-    its words are summed in each task before they are shuffled.
+    own: (line_key, found, words) of the distinct lines with entities, found being the entities and words those that no base span touches; texts: column t
+    of all texts, over whose distinct lines words and lines are counted. A line is shuffled once, after each task has dropped its own repeats.
+    What is counted is summed in each task before it is shuffled, so an entity that many lines have, as a kind is, is one row a task.
     """
-    own = lines.select(F.xxhash64("line").alias("key"), "bare", F.explode("found").alias("v"))
-    own = own.groupBy("key", "v").agg(F.any_value("bare").alias("bare"))
-    often = own.groupBy("v").agg(F.count("*").alias("df_v")).where(F.col("df_v") >= support)
-    beside = own.join(often, "v").select("v", "df_v", F.explode(_free_words(F.col("bare"))).alias("t"))
+    found = own.select("line_key", "words", F.explode("found").alias("v"))
+    often = found.groupBy("v").agg(F.count("*").alias("df_v")).where(F.col("df_v") >= support)
+    beside = salted_lookup(found, "line_key", "v", often).where("df_v is not null").select("line_key", "v", "df_v", F.explode("words").alias("t"))
+    beside = stage(beside, "beside")
     pairs = stage(beside.groupBy("v", "df_v", "t").agg(F.count("*").alias("df_vt")).where(F.col("df_vt") >= support), "cooccur")
-    every = texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).withColumn("key", F.xxhash64("line"))
-    total = every.select("key").distinct().agg(F.count("*").alias("n"))
-    asked = pairs.select("t").distinct()
-    once = every.groupBy("key").agg(F.any_value("line").alias("line"))
-    words = once.select(F.explode(_words("line")).alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
-    known = pairs.join(words, "t").crossJoin(total)  # total is one row
-    info = F.log2(F.col("n") / F.col("df_v"))
-    mutual = F.log2(F.col("n") * F.col("df_vt") / F.col("df_v") / F.col("df_t"))
-    return known.where((info > 0) & (mutual >= share * info)).select("v", "t")
+    every = texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).withColumn("line_key", F.md5("line"))
+    once = every.groupBy("line_key").agg(F.any_value("line").alias("line"))
+    words = stage(once.select(F.explode(F.concat(_words(F.col("line")), F.array(F.lit("\n")))).alias("t")).groupBy("t").agg(F.count("*").alias("df_t")), "words")
+    n = words.where(F.col("t") == "\n").agg(F.coalesce(F.sum("df_t"), F.lit(0))).first()[0]  # no word is a line feed: it counts the lines
+    info = F.log2(F.lit(float(n)) / F.col("df_v"))
+    mutual = F.log2(F.lit(float(n)) * F.col("df_vt") / F.col("df_v") / F.col("df_t"))
+    told = pairs.join(words, "t").where((info > 0) & (mutual >= share * info)).select("v", "t", F.lit(True).alias("told"))
+    pair = F.struct("v", "t")
+    met = salted_lookup(beside.select("line_key", "t", pair.alias("vt")), "line_key", "vt", told.select(pair.alias("vt"), "told")).where("told")
+    return met.groupBy("line_key").agg(F.collect_set("t").alias("terms"))
 
 
 def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, support: int = 3) -> DataFrame:
-    """One row per input row: doc_id, key (hash of the text), spans (array of (s, k, e, v), k numbering KINDS, sorted).
+    """One row per input row: doc_id, key (SHA-256 of the text), spans (array of (s, k, e, v), k numbering KINDS, sorted).
 
     Base spans are always there; terms are added by disclosure, where no base span touches them.
     Null counts as empty. Rows of one text have the same spans, whatever their ids. Other columns are ignored. An empty table gives an empty one.
     """
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # spans never cross a line feed, so those of a line are found in it alone
     found = texts.select("doc_id", "t", base_spans(F.col("t")).alias("spans"))
-    lined = found.select("doc_id", F.xxhash64("t").alias("key"), "spans", _entity_lines(F.col("t"), F.col("spans")).alias("lines"))
-    rows = stage(lined, "spans")
-    lines = rows.select("key", F.explode("lines").alias("l")).select("key", "l.start", "l.line", "l.found", "l.bare", "l.taken")
-    told = stage(disclosing_terms(lines, texts, share=share, support=support), "terms")
-    near = lines.select("key", "start", "line", "taken", F.explode("found").alias("v")).join(told, "v").where("contains(line, t)").select("key", "start", "line", "taken", "t").distinct()
+    lines = F.when(F.size("spans") > 0, F.split("t", "\n", -1)).otherwise(F.array().cast("array<string>"))
+    rows = stage(found.select("doc_id", F.sha2("t", 256).alias("key"), "spans", lines.alias("lines")), "spans")
+    each = rows.where("size(spans) > 0").select("key", F.explode(_starts(F.col("lines"))).alias("l")).select("key", "l.start", "l.line")
+    each = each.where(F.col("line").rlike("[0-9]|@")).withColumn("spans", base_spans(F.col("line"))).where("size(spans) > 0")
+    each = stage(each.select("key", "start", F.md5("line").alias("line_key"), "line", "spans"), "lines")
+    own = each.groupBy("line_key").agg(F.any_value("line").alias("line"), F.any_value("spans").alias("spans"))
+    own = stage(own.select("line_key", _entities(F.col("spans")).alias("found"), _free_words(_bare(F.col("line"), F.lit(0), F.col("spans"))).alias("words")), "own")
+    told = stage(disclosing_terms(own, texts, share=share, support=support), "terms")
+    near = salted_lookup(each, "key", "line_key", told).where("terms is not null").select("key", "start", "line", "spans", F.explode("terms").alias("t"))
     literal = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![^\x20\x09-\x0D])"))
-    at = near.select("key", "start", "taken", F.explode(_located(F.col("line"), literal, 4)).alias("x"))
+    at = near.select("key", "start", "spans", F.explode(_located(F.col("line"), literal, 4)).alias("x"))
     # a word is a term only where no base span touches it
-    at = at.where("not exists(taken, b -> b.s < start + x.e and b.e > start + x.s)").select("key", F.struct((F.col("x.s") + F.col("start")).alias("s"), F.col("x.k").alias("k"), (F.col("x.e") + F.col("start")).alias("e"), F.col("x.v").alias("v")).alias("x"))
+    at = at.where("not exists(spans, b -> b.s < x.e and b.e > x.s)").select("key", F.struct((F.col("x.s") + F.col("start")).alias("s"), F.col("x.k").alias("k"), (F.col("x.e") + F.col("start")).alias("e"), F.col("x.v").alias("v")).alias("x"))
     terms = at.groupBy("key").agg(F.collect_set("x").alias("terms"))
     full = salted_lookup(rows.select("doc_id", "key", "spans"), "doc_id", "key", terms)
     return full.select("doc_id", "key", F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN)))).alias("spans"))
@@ -156,7 +167,7 @@ def sanitise(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     """
     found = find_pii(df, id_col=id_col, text_col=text_col, **options)
     spans = found.where(F.size("spans") > 0).groupBy("key").agg(F.any_value("spans").alias("__pii_spans"))
-    keyed = df.withColumn("__pii_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = df.withColumn("__pii_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     joined = keyed.join(spans.withColumnRenamed("key", "__pii_key"), "__pii_key", "left")
     clean = F.when(F.col("__pii_spans").isNull(), F.col(text_col)).otherwise(replaced(F.col(text_col), F.col("__pii_spans")))
     return joined.withColumn(text_col, clean).select(*df.columns)

@@ -127,7 +127,7 @@ FROM l JOIN s ON s.depth = shard_depth AND s.q = l.h >> (60 - shard_depth)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(_table(spark, sf_dir, "documents"))
+    found = find_pii(_table(spark, sf_dir, "documents"), support=2)
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
     base = F.filter("spans", lambda x: x["k"] < 4)
     return found.select(
