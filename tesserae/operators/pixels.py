@@ -40,7 +40,9 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         body, crc = data[at + 8 : at + 8 + size], data[at + 8 + size : at + 12 + size]
-        if len(crc) < 4 or zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
+        if len(crc) < 4:
+            raise PixelError("TRUNCATED")
+        if zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
             raise PixelError("DAMAGED")
         yield kind, body
         if kind == b"IEND":
