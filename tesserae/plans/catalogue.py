@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL."""
 
-from . import codec, ingestion, latent
+from . import codec, frames, ingestion, latent
 
-QUERIES = ingestion.QUERIES | latent.QUERIES | codec.QUERIES
-ORACLES = ingestion.ORACLES | latent.ORACLES | codec.ORACLES
+QUERIES = ingestion.QUERIES | frames.QUERIES | latent.QUERIES | codec.QUERIES
+ORACLES = ingestion.ORACLES | frames.ORACLES | latent.ORACLES | codec.ORACLES
