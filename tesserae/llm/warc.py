@@ -68,6 +68,10 @@ def pack_record(row: dict, level: int) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+#: Type of the rows that report damaged records.
+DAMAGED = "damaged"
+
+
 def _headers(data: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     name = None
@@ -110,6 +114,27 @@ class _Inflated:
         del self.plain[: at + 4]
         return out
 
+    def through(self, end: bytes, most: int) -> bytes:
+        """Through the first ``end``, or ``most`` bytes without one."""
+        while (at := self.plain.find(end, 0, most)) < 0 and len(self.plain) < most and self._more():
+            pass
+        return self.body(at + len(end) if at >= 0 else most)
+
+    def skip(self, n: int) -> bool:
+        """Past n bytes and the line ends after them, kept nowhere; whether there were so many."""
+        while n > len(self.plain):
+            n -= len(self.plain)
+            self.plain.clear()
+            if not self._more():
+                return False
+        del self.plain[:n]
+        while not self.plain.lstrip(b"\r\n"):
+            self.plain.clear()
+            if not self._more():
+                return True
+        self.plain = self.plain.lstrip(b"\r\n")
+        return True
+
     def body(self, n: int) -> bytes:
         while len(self.plain) < n and self._more():
             pass
@@ -118,48 +143,77 @@ class _Inflated:
         return out
 
 
+class Damaged(ValueError):
+    """A record that ends before its time or can't be inflated."""
+
+
+def _one(text: _Inflated, wanted, payloads: bool):
+    """(headers, payload, its length), or None for a record that doesn't pass, and how many bytes of its block are left; None at the end."""
+    head = text.head()
+    if head is None:
+        if text.plain.strip(b"\r\n"):
+            raise Damaged
+        return None
+    headers = _headers(head.lstrip(b"\r\n"))
+    stated = headers.get("content-length", "")
+    if not stated.isdigit():
+        raise Damaged
+    block = int(stated)
+    if not wanted(headers):
+        return None, block
+    payload, length = None, None
+    if headers.get("content-type", "").startswith("application/http"):
+        inner = text.through(b"\r\n\r\n", block)  # the whole HTTP header, however long
+        block -= len(inner)
+        own = _headers(inner[:-4]).get("content-length") or ""
+        length = int(own) if own.isdigit() else None
+        if payloads and headers.get("warc-type") != "revisit":
+            payload = text.body(block)
+    elif payloads:
+        payload = text.body(block)
+    if payload is not None:
+        if len(payload) < block:
+            raise Damaged
+        length, block = len(payload), 0
+    return (headers, payload, length), block
+
+
 def read_records(file, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None, int | None]]:
-    """(headers, payload, its length) of the records whose headers pass. Damaged ends of files end the reading; gzip or plain files."""
+    """(headers, payload, its length) of the records whose headers pass; gzip or plain files, a record or many in a member.
+
+    A damaged record is reported as headers with the type ``damaged``, if those pass. Reading goes on with the next member where the damaged one says how
+    long it is; else the file ends there.
+    """
     size, at = file.size(), 0
     while at < size:
         file.seek(at)
         start = file.read(24)
         member = start[:2] == b"\x1f\x8b"
-        length = None
-        if member and len(start) == 24 and start[3] & 4 and start[12:14] == b"LX":
-            length = struct.unpack("<I", start[16:20])[0]
+        known = member and len(start) == 24 and start[3] & 4 and start[12:14] == b"LX"
         file.seek(at)
         text = _Inflated(file, member)
-        head = text.head()
-        if head is None:
+        try:
+            while (got := _one(text, wanted, payloads)) is not None:
+                record, left = got
+                if record:
+                    yield record
+                if known:  # such members have one record: what is left needn't be inflated
+                    break
+                if not text.skip(left):
+                    raise Damaged
+            if member and not known and not text.press.eof:
+                raise Damaged
+        except (Damaged, zlib.error):
+            if wanted(lost := {"warc-type": DAMAGED}):
+                yield lost, None, None
+            if not known:
+                return
+        if known:
+            at += struct.unpack("<I", start[16:20])[0]
+        elif member:
+            at = file.tell() - len(text.press.unused_data)
+        else:
             return
-        headers = _headers(head.lstrip(b"\r\n"))
-        block = int(headers.get("content-length") or 0)
-        passed = wanted(headers)
-        http = headers.get("content-type", "").startswith("application/http")
-        payload, payload_length = None, None
-        if passed and http:
-            inner = _Inflated(file, False)
-            inner.plain = bytearray(text.body(block) if payloads and headers.get("warc-type") != "revisit" else text.body(min(block, HEAD_BYTES)))
-            inner._more = lambda: False
-            stated = _headers(inner.head() or b"").get("content-length")
-            payload_length = int(stated) if stated and stated.isdigit() else None
-            if payloads and headers.get("warc-type") != "revisit":
-                payload = bytes(inner.plain)
-                payload_length = len(payload)
-        elif passed and payloads:
-            payload = text.body(block)
-            payload_length = len(payload)
-        if passed:
-            yield headers, payload, payload_length
-        if length is None and member:  # without its length, a member ends where it has been inflated
-            while not text.ended:
-                text.plain.clear()
-                text._more()
-            length = file.tell() - at - len(text.press.unused_data)
-        elif length is None:
-            length = len(head) + 4 + block + 4
-        at += length
 
 
 # -- data source --------------------------------------------------------------------------------------------------------------------

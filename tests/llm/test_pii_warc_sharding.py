@@ -158,6 +158,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert members.count(b"WARC/1.1\r\n") == len(rows)
 
 
+def test_damaged_members_are_reported_and_passed_over(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://x/{i}", "z" * 500 + str(i), "a", "b") for i in range(6)], PAGES).coalesce(1)
+    assert archived_pages(df, f"{tmp_path}/a").count() == 6
+    (file,) = (tmp_path / "a").glob("*.warc.gz")
+    data = bytearray(file.read_bytes())
+    second = data.index(b"\x1f\x8b\x08\x04", 10)
+    data[second + 40 : second + 60] = bytes(20)
+    file.write_bytes(bytes(data))
+    got = read_warc(spark, f"{tmp_path}/a")
+    assert Counter(r.record_type for r in got.collect()) == Counter({"response": 5, "damaged": 1})
+    assert got.where("record_type = 'response'").count() == 5
+
+
 def test_reads_what_others_write(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
     one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
@@ -165,12 +178,20 @@ def test_reads_what_others_write(spark, tmp_path):
     (tmp_path / "plain.warc").write_bytes(one + two + one)
     (tmp_path / "packed.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two * 1) + gzip.compress(one))
     (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(two) + gzip.compress(one)[:30])
-    rows = read_warc(spark, str(tmp_path)).collect()
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(two + one + two))
+    long = one.replace(b"Content-Type: text/html", b"Content-Type: text/html\r\nContent-Length: 9\r\nX: " + b"y" * 9000)
+    long = long.replace(b"Content-Length: %d" % len(block), b"Content-Length: %d" % (len(block) + 9024), 1)
+    (tmp_path / "long.warc.gz").write_bytes(gzip.compress(long))
+    every = read_warc(spark, str(tmp_path)).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.payload) for r in every if r.record_type == "damaged"] == [("cut.warc.gz", None)]
+    assert Counter((r.record_type, bytes(r.payload)) for r in every if "whole" in r.file or "long" in r.file) == Counter({("response", b"<p>hi</p>"): 2, ("resource", b"hello"): 2})
+    assert [r.payload_length for r in read_warc(spark, str(tmp_path), payload=False).where("file like '%long%'").collect()] == [9]
+    rows = [r for r in every if r.record_type != "damaged" and "whole" not in r.file and "long" not in r.file]
     assert Counter((r.file.rsplit("/", 1)[1], r.record_type, bytes(r.payload)) for r in rows) == Counter(
         {("plain.warc", "response", b"<p>hi</p>"): 2, ("plain.warc", "resource", b"hello"): 1, ("packed.warc.gz", "response", b"<p>hi</p>"): 2, ("packed.warc.gz", "resource", b"hello"): 1, ("cut.warc.gz", "resource", b"hello"): 1}
     )
     assert all(r.payload is None for r in read_warc(spark, str(tmp_path), payload=False).collect())
-    assert [len(p.paths) for p in WarcReader({"path": str(tmp_path)}).partitions()] == [3]
+    assert [len(p.paths) for p in WarcReader({"path": str(tmp_path)}).partitions()] == [5]
     with pytest.raises(Exception):
         write_warc(spark.sql("select raise_error('lost') as record_type"), f"{tmp_path}/b")
     assert not list((tmp_path / "b").rglob("*.warc.gz"))
