@@ -136,5 +136,50 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR lpad(right(x, 3), 3, '0') > '255')) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", """len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[-i]::INT
+ ELSE d[-i]::INT * 2 - CASE WHEN d[-i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 9 AND 15"),
+}
+
+
+def _found(k: int, kind: str) -> str:
+    """The matches of a kind by place: the pieces between matches, and the matches, give the starts."""
+    pattern, valid = _KINDS[kind]
+    return f"""SELECT r, {k} AS k, (sum(len(gap) + len(v)) OVER (PARTITION BY r ORDER BY i) - len(v))::INT AS s, (sum(len(gap) + len(v)) OVER (PARTITION BY r ORDER BY i))::INT AS e,
+ v, {valid} AS ok FROM (SELECT r, i, vs[i] AS v, gaps[i] AS gap, regexp_replace(vs[i], '[^0-9]', '', 'g') AS d FROM (SELECT r, vs, gaps, unnest(range(1, len(vs) + 1)) AS i FROM
+ (SELECT r, regexp_extract_all(t, '{pattern}') AS vs, string_split_regex(t, '{pattern}') AS gaps FROM t)))"""
+
+
+OP10_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ base AS (SELECT r, k, s, e, v, ['email', 'ip', 'card', 'phone'][k + 1] AS kind FROM ({' UNION ALL '.join(_found(k, kind) for k, kind in enumerate(_KINDS))}) WHERE ok),
+ cut AS (SELECT r, i, ls[i] AS line, (sum(len(ls[i]) + 1) OVER (PARTITION BY r ORDER BY i) - len(ls[i]) - 1)::INT AS start
+   FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(t, chr(10)) AS ls FROM t))),
+ once AS (SELECT DISTINCT line FROM cut),
+ n AS (SELECT count(*)::DOUBLE AS n FROM once),
+ df_t AS (SELECT w, count(*) AS df_t FROM (SELECT DISTINCT line, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM once) GROUP BY w),
+ own AS (SELECT c.r, c.i, c.line, c.start, b.s - c.start AS s, b.e - c.start AS e, b.kind, b.v FROM cut c JOIN base b ON b.r = c.r AND b.s >= c.start AND b.e <= c.start + len(c.line)),
+ entity AS (SELECT DISTINCT line, unnest([kind, kind || ':' || v]) AS v FROM own),
+ df_v AS (SELECT v, count(*) AS df_v FROM entity GROUP BY v HAVING count(*) >= 2),
+ place AS (SELECT line, w, (sum(len(gap) + len(w)) OVER (PARTITION BY line ORDER BY i) - len(w))::INT AS s, (sum(len(gap) + len(w)) OVER (PARTITION BY line ORDER BY i))::INT AS e
+   FROM (SELECT line, i, ws[i] AS w, gaps[i] AS gap FROM (SELECT line, ws, gaps, unnest(range(1, len(ws) + 1)) AS i
+   FROM (SELECT line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(line, '[^\x20\x09-\x0D]+') AS gaps FROM (SELECT DISTINCT line FROM own))))),
+ free AS (SELECT * FROM place p WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.line = p.line AND o.s < p.e AND o.e > p.s)),
+ beside AS (SELECT DISTINCT line, v, w FROM free JOIN entity USING (line)),
+ told AS (SELECT v, w FROM (SELECT v, w, count(*) AS df_vt FROM beside GROUP BY v, w HAVING count(*) >= 2) JOIN df_v USING (v) JOIN df_t USING (w), n
+   WHERE log2(n / df_v) > 0 AND log2(n * df_vt / df_v / df_t) >= 0.9::DOUBLE * log2(n / df_v)),
+ term AS (SELECT DISTINCT line, w FROM beside JOIN told USING (v, w)),
+ every AS (SELECT r, k, kind, s, e FROM base UNION ALL
+   SELECT DISTINCT c.r, 4, 'term', c.start + f.s, c.start + f.e FROM cut c JOIN free f USING (line) JOIN term USING (line, w)),
+ one AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_term,
+   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+ sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM t LEFT JOIN one USING (r)
+"""
+
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_pii": op10_pii}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL, "op10_pii": OP10_SQL}
