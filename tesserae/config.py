@@ -9,6 +9,7 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Config:
+    # The defaults of the format's tools.
     target_width: int = 256
     target_height: int = 256
     every_n_frames: int = 1
@@ -27,11 +28,16 @@ class Config:
     raw_dir: Path = Path("data/raw")
     frames_dir: Path = Path("data/frames")
 
+    @classmethod
+    def unknown(cls, given) -> list[str]:
+        """Those of the keys that aren't settings, sorted."""
+        return sorted(set(given) - {f.name for f in fields(cls)})
+
     @classmethod
     def from_json(cls, path: str | Path) -> Config:
         """Defaults with the file's values in their place; keys that aren't settings raise ValueError."""
-        given, known = json.loads(Path(path).read_text()), {f.name: f for f in fields(cls)}
-        if unknown := sorted(given.keys() - known.keys()):
+        given = json.loads(Path(path).read_text())
+        if unknown := cls.unknown(given):
             raise ValueError(f"unknown settings: {', '.join(unknown)}")
         return cls(**{k: Path(v) if isinstance(getattr(cls, k), Path) else v for k, v in given.items()})
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..operators import ingest, metrics
+from ..sources import media
 
 SEED, TRAIN, VAL, TEST = 42, 0.8, 0.1, 0.1
 EVERY, BATCH = 3, 8
@@ -25,7 +27,9 @@ def _splits(spark, sf_dir):
 
 
 def discover_items(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("total_bytes"))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = media.named(table(spark, sf_dir, "documents").select("source", path.alias("path"), F.col("n_chars").alias("length")))
+    return files.groupBy("source", F.col("directory").alias("lang")).agg(F.count("*").alias("files"), F.sum("length").alias("total_bytes"))
 
 
 def detect_source_type(spark, sf_dir):
@@ -78,8 +82,7 @@ def quarantine(spark, sf_dir):
 
 
 def unknown_keys(spark, sf_dir):
-    given, known = F.array(*map(F.lit, ["batch_size", "seed", "colour", "dept"])), F.array(*map(F.lit, ["batch_size", "seed", "num_workers"]))
-    return spark.range(1).select(F.explode(F.array_sort(F.array_except(given, known))).alias("unknown_key"))
+    return spark.createDataFrame([(k,) for k in Config.unknown(["batch_size", "seed", "colour", "dept"])], "unknown_key string")
 
 
 def _batched_events(spark, sf_dir):
