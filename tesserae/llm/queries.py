@@ -14,7 +14,10 @@ from .quality import quality_rules
 from .sentencepiece_codec import load_model, round_trip
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .token_counts import token_counts
+from .trie import opening_trie
 from .warc import archived_pages
+from .whitening import whiten
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -181,5 +184,43 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM t LEFT JOIN one USING (r)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_pii": op10_pii}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL, "op10_pii": OP10_SQL}
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten(_table(spark, sf_dir, "embeddings"), components=16)
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096).drop("text")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opening_trie(_table(spark, sf_dir, "conversations"))
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b:
+ list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295::BIGINT)"""
+OP13_SQL = f"""
+WITH v AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     k AS (SELECT c, turn, md5(len(role) || ':' || role || text) AS k, len(text) AS n FROM v),
+     t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos, {{'k': k, 'n': n}} AS v FROM k),
+     o AS (SELECT c, count(*) AS own FROM t GROUP BY c),
+     f AS (SELECT o.c, o.c - o.c % 100 AS base, h, least(h, coalesce(b.own, 0)) AS taken FROM (SELECT c, {_CRC} % 6 AS h FROM o) o LEFT JOIN o b ON b.c = o.c - o.c % 100),
+     p AS (SELECT f.c, t.pos - h + taken AS pos, v FROM f JOIN t ON t.c = f.c AND t.pos > h UNION ALL SELECT f.c, t.pos, v FROM f JOIN t ON t.c = f.base AND t.pos <= taken),
+     s AS (SELECT f.c, coalesce(list(v ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path FROM f LEFT JOIN p ON p.c = f.c GROUP BY f.c),
+     m AS (SELECT c, d, path[1:d] AS node, d = len(path) AS ends FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM s)),
+     n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ids FROM m GROUP BY node, d),
+     b AS (SELECT node[1:a] AS node, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (d = a + 1) AS n_children, sum((n_convs - 1) * coalesce(node[-1].n, 0)) AS saved_tokens
+           FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) GROUP BY node[1:a])
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM n JOIN b ON b.node = n.node LEFT JOIN n u ON n.d > 0 AND u.node = n.node[1:n.d - 1]
+"""
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash,
+    "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_pii": op10_pii, "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts, "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL, "op10_pii": OP10_SQL, "op13_prefix_trie": OP13_SQL}
