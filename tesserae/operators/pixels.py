@@ -1,7 +1,7 @@
-"""Frames as pixels: PNG in and out, resizing, and tensors.
+"""Frames as pixels: PNG and JPEG in, PNG out, resizing, and tensors.
 
-A frame is a row with height, width and pixels: RGB bytes, row by row. What is done to a frame is a function of its bytes alone, so it
-runs in Arrow batches of one frame after another; geometry, names, sampling and everything about tables are column expressions elsewhere.
+A frame is a row with height, width and pixels: RGB bytes, row by row. What is done to a frame is a function of its bytes alone; frames are
+handed on as soon as they fill a few megabytes. Geometry, names, sampling and everything about tables are column expressions elsewhere.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ingest import resize_geometry
+from .jpeg import PixelError, decode_jpeg, encode_jpeg
 
 # Fixed values of the PNG format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -25,12 +26,8 @@ CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 FRAME = "height int, width int, pixels binary, error_code string"
 
 
-class PixelError(ValueError):
-    """An image that can't be decoded; ``code`` says why."""
-
-    def __init__(self, code: str):
-        super().__init__(code)
-        self.code = code
+#: Bytes of made columns that a task holds before it hands rows on, and rows of an image that are unfiltered at once.
+HELD_BYTES, BAND_ROWS = 1 << 24, 256
 
 
 def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -54,6 +51,14 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
     """Rows of bytes from rows that start with their filter's number. Left neighbours are ``step`` bytes away."""
     kinds, rows = raw[:, 0], raw[:, 1:].copy()
+    if kinds.max() > 4:
+        raise PixelError("BAD_FILTER")
+    if kinds.max() > 2:
+        above = np.zeros(rows.shape[1], np.uint8)
+        for at in range(0, len(rows), BAND_ROWS):
+            rows[at : at + BAND_ROWS] = _diagonals(kinds[at : at + BAND_ROWS], rows[at : at + BAND_ROWS], above, step)
+            above = rows[min(at + BAND_ROWS, len(rows)) - 1]
+        return rows
     above = np.zeros(rows.shape[1], np.uint8)
     for kind, row in zip(kinds.tolist(), rows, strict=True):
         if kind == 1:
@@ -61,31 +66,47 @@ def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
                 np.cumsum(row[c::step], dtype=np.uint8, out=row[c::step])
         elif kind == 2:
             row += above
-        elif kind in (3, 4):
-            left, corner = np.zeros(step, np.int64), np.zeros(step, np.int64)
-            for at in range(0, len(row), step):
-                up = above[at : at + step].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    base = left + up - corner
-                    a, b, c = abs(base - left), abs(base - up), abs(base - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left = (row[at : at + step] + guess) & 255
-                row[at : at + step], corner = left, up
-        elif kind:
-            raise PixelError("BAD_FILTER")
         above = row
     return rows
 
 
+def _diagonals(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """``_unfiltered`` for all filters: what a place needs lies on the two diagonals before its own, so a diagonal is one operation."""
+    height, wide = len(rows), -(-rows.shape[1] // step)
+    lanes = np.zeros((height + 1, wide + 1, step), np.int16)  # a row above, a column before
+    lanes[0, 1:].reshape(-1)[: len(above)] = above
+    lanes[1:, 1:].reshape(height, -1)[:, : rows.shape[1]] = rows
+    skewed = np.zeros((height + wide + 1, height + 1, step), np.int16)  # by diagonal and row
+    y, x = np.mgrid[0 : height + 1, 0 : wide + 1]
+    skewed[(y + x), y] = lanes
+    k = kinds[:, None]
+    paeth, mean, left_only, none = k == 4, k == 3, k == 1, k == 0
+    mixed = not paeth.all()
+    for d in range(2, height + wide + 1):
+        first, last = max(1, d - wide), min(height, d - 1) + 1  # rows whose place on this diagonal is within the image
+        a, b, c = skewed[d - 1, first:last], skewed[d - 1, first - 1 : last - 1], skewed[d - 2, first - 1 : last - 1]
+        p, q = b - c, a - c
+        pa, pb, pc = np.abs(p), np.abs(q), np.abs(p + q)
+        guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        if mixed:
+            own = slice(first - 1, last - 1)
+            guess = np.where(paeth[own], guess, np.where(mean[own], a + b >> 1, np.where(left_only[own], a, np.where(none[own], 0, b))))
+        skewed[d, first:last] = skewed[d, first:last] + guess & 255
+    out = skewed[(y + x)[1:, 1:], y[1:, 1:]].astype(np.uint8)
+    return out.reshape(height, -1)[:, : rows.shape[1]]
+
+
 def decode_png(data: bytes | None) -> np.ndarray:
     """height x width x 3 of bytes, RGB; alpha is dropped, 16 bits become 8. Interlaced images and what isn't PNG raise PixelError."""
     head, palette, body = None, None, []
     for kind, chunk in _chunks(bytes(data or b"")):
         if kind == b"IHDR":
+            if len(chunk) != 13:
+                raise PixelError("BAD_HEADER")
             head = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"PLTE":
+            if len(chunk) % 3 or not chunk:
+                raise PixelError("BAD_PALETTE")
             palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body.append(chunk)
@@ -95,11 +116,14 @@ def decode_png(data: bytes | None) -> np.ndarray:
     if interlaced:
         raise PixelError("INTERLACED")
     wide = (width * CHANNELS[colour] * depth + 7) // 8
+    packed, most = b"".join(body), height * (wide + 1)
+    if most > 1100 * len(packed):  # deflate shrinks by less, so the header claims more than there can be
+        raise PixelError("TRUNCATED")
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+        raw = np.frombuffer(zlib.decompressobj().decompress(packed, most), np.uint8)
     except zlib.error:
         raise PixelError("DAMAGED") from None
-    if len(raw) != height * (wide + 1):
+    if len(raw) != most:
         raise PixelError("TRUNCATED")
     rows = _unfiltered(raw.reshape(height, wide + 1), max(1, CHANNELS[colour] * depth // 8))
     if depth == 16:
@@ -152,25 +176,43 @@ def resize(pixels: np.ndarray, width: int, height: int, how: str) -> np.ndarray:
     return np.clip(np.rint(np.einsum("yh,hwc,xw->yxc", rows, pixels.astype(float), columns, optimize=True)), 0, 255).astype(np.uint8)
 
 
+def decode_image(data: bytes | None) -> np.ndarray:
+    """The RGB pixels of a PNG or JPEG file, told apart by their first bytes. PixelError: NOT_IMAGE for anything else."""
+    start = bytes(data[:8]) if data else b""
+    if start == SIGNATURE:
+        return decode_png(data)
+    if start[:2] == b"\xff\xd8":
+        return decode_jpeg(data)
+    raise PixelError("NOT_IMAGE")
+
+
 def _mapped(df: DataFrame, schema: str, each) -> DataFrame:
-    """df with further columns: each(row of the pandas frame as a namedtuple) -> their values."""
+    """df with further columns: each(row of the pandas frame as a namedtuple) -> their values. Rows go on when HELD_BYTES of them are made."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def rows(part: pd.DataFrame, made: list[tuple]) -> pd.DataFrame:
+        return part.drop(columns=[n for n in names if n in part]).assign(**{n: pd.Series([m[i] for m in made], dtype=object, index=part.index) for i, n in enumerate(names)})
+
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made = [each(r) for r in part.itertuples(index=False)]
-            yield part.drop(columns=[n for n in names if n in part]).assign(**{n: pd.Series([m[i] for m in made], dtype=object, index=part.index) for i, n in enumerate(names)})
+            made, held, start = [], 0, 0
+            for at, row in enumerate(part.itertuples(index=False), 1):
+                made.append(each(row))
+                held += sum(getattr(v, "nbytes", 0) or (len(v) if isinstance(v, bytes) else 0) for v in made[-1])
+                if held >= HELD_BYTES or at == len(part):
+                    yield rows(part.iloc[start:at], made)
+                    made, held, start = [], 0, at
 
     kept = [f for f in df.schema.fields if f.name not in names]
     return df.mapInPandas(task, T.StructType(kept + T.StructType.fromDDL(schema).fields))
 
 
 def decode_frames(df: DataFrame, *, data_col: str = "data") -> DataFrame:
-    """df with height, width and pixels of the PNG files in ``data_col``, or error_code: a bad file is a row with a code, not a failed job."""
+    """df with height, width and pixels of the PNG and JPEG files in ``data_col``, or error_code: a bad file is a row with a code, not a failed job."""
 
     def each(row):
         try:
-            got = decode_png(getattr(row, data_col))
+            got = decode_image(getattr(row, data_col))
         except PixelError as e:
             return None, None, None, e.code
         return got.shape[0], got.shape[1], got.tobytes(), None
@@ -197,9 +239,12 @@ def resize_frames(df: DataFrame, target_width: int, target_height: int, *, prese
     return _mapped(shaped, "height int, width int, pixels binary", each).drop("new_width", "new_height", "left", "top", "interpolation").select(*df.columns)
 
 
-def encode_frames(df: DataFrame, *, to: str = "data") -> DataFrame:
-    """df with the PNG file of each frame in ``to``; null without pixels."""
-    return _mapped(df, f"{to} binary", lambda r: (None if r.pixels is None else encode_png(np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width), 3)),))
+def encode_frames(df: DataFrame, *, to: str = "data", kind: str = "png", **how) -> DataFrame:
+    """df with the PNG file of each frame in ``to``, or its JPEG file, made as ``how`` says (quality, halved, grey); null without pixels."""
+    if kind not in ("png", "jpeg"):
+        raise ValueError(f"no image kind {kind!r}")
+    write = encode_png if kind == "png" else lambda p: encode_jpeg(p, **how)
+    return _mapped(df, f"{to} binary", lambda r: (None if r.pixels is None else write(np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width), 3)),))
 
 
 def to_planes(df: DataFrame, *, to: str = "planes") -> DataFrame:

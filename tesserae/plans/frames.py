@@ -10,33 +10,56 @@ from .ingestion import table
 SIDE, SMALL = 8, 4
 
 
-def _frames(spark, sf_dir):
+def _values(spark, sf_dir):
+    """(vec_id, v): the frame's values; embeddings of other sizes have another side and no place here."""
     value = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 64) + 128)).cast("int")
-    byte = lambda v: F.lpad(F.hex(v), 2, "0")
-    rgb = F.transform("embedding", lambda x: F.concat(byte(value(x)), byte(255 - value(x)), byte(value(x))))
-    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == SIDE * SIDE)
-    return e.select("vec_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.unhex(F.array_join(rgb, "")).alias("pixels"))
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == SIDE * SIDE).select("vec_id", F.transform("embedding", value).alias("v"))
+
+
+def _byte(v):
+    return F.lpad(F.hex(v), 2, "0")
+
+
+def colour_frames(spark, sf_dir):
+    rgb = F.transform("v", lambda v: F.concat(_byte(v), _byte(255 - v), _byte(v)))
+    return _values(spark, sf_dir).select("vec_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.unhex(F.array_join(rgb, "")).alias("pixels"))
+
+
+def _by_place(frames, side):
+    """A row per pixel: (vec_id, y, x, red, green, blue)."""
+    planes = F.transform("planes", lambda v: F.rint(v * 255).cast("int"))
+    each = pixels.to_planes(frames).select("vec_id", planes.alias("p")).select("vec_id", F.posexplode(F.slice("p", 1, side * side)).alias("at", "red"), "p")
+    return each.select(
+        "vec_id", F.expr(f"at div {side}").cast("int").alias("y"), (F.col("at") % side).alias("x"), "red",
+        F.element_at("p", F.col("at") + 1 + side * side).alias("green"), F.element_at("p", F.col("at") + 1 + 2 * side * side).alias("blue"),
+    )
 
 
 def png_round_trip(spark, sf_dir):
-    files = pixels.encode_frames(_frames(spark, sf_dir)).select("vec_id", "data")
-    planes = pixels.to_planes(pixels.decode_frames(files)).select("vec_id", "height", "width", F.posexplode("planes").alias("at", "v"))
-    total = lambda k: F.sum(F.when(F.expr(f"at div {SIDE * SIDE}") == k, F.rint(F.col("v") * 255).cast("long"))).alias(("red", "green", "blue")[k])
-    return planes.groupBy("vec_id", "height", "width").agg(*map(total, range(3)))
+    files = pixels.encode_frames(colour_frames(spark, sf_dir)).select("vec_id", "data")
+    return _by_place(pixels.decode_frames(files), SIDE)
 
 
 def resized_frames(spark, sf_dir):
-    small = pixels.to_planes(pixels.resize_frames(_frames(spark, sf_dir), SMALL, SMALL))
-    each = small.select("vec_id", F.posexplode("planes").alias("at", "v")).where(F.col("at") < SMALL * SMALL)
-    return each.select("vec_id", F.expr(f"at div {SMALL}").cast("int").alias("y"), (F.col("at") % SMALL).alias("x"), F.rint(F.col("v") * 255).cast("int").alias("value"))
+    return _by_place(pixels.resize_frames(colour_frames(spark, sf_dir), SMALL, SMALL), SMALL)
+
+
+def jpeg_frames(spark, sf_dir):
+    """Each value as a flat block of 8x8 in a grey JPEG file, which keeps it exactly; read again and averaged by block."""
+    line = lambda y: F.repeat(F.array_join(F.transform(F.slice("v", y * SIDE + 1, SIDE), lambda v: F.repeat(_byte(v), 24)), ""), 8)
+    wide = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), line), ""))
+    frames = _values(spark, sf_dir).select("vec_id", F.lit(8 * SIDE).alias("height"), F.lit(8 * SIDE).alias("width"), wide.alias("pixels"))
+    files = pixels.encode_frames(frames, kind="jpeg", quality=95, grey=True).select("vec_id", "data")
+    return _by_place(pixels.resize_frames(pixels.decode_frames(files), SIDE, SIDE), SIDE)
 
 
-QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames)}
+QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames)}
 
-_VALUES = f"""v AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS k, greatest(0, least(255, floor(unnest(embedding)::DOUBLE * 64) + 128))::INT AS v
+VALUES = f"""v AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS k, greatest(0, least(255, floor(unnest(embedding)::DOUBLE * 64) + 128))::INT AS v
  FROM embeddings WHERE len(embedding) = {SIDE * SIDE})"""
 ORACLES = {
-    "png_round_trip": f"WITH {_VALUES} SELECT vec_id, {SIDE} AS height, {SIDE} AS width, sum(v)::BIGINT AS red, sum(255 - v)::BIGINT AS green, sum(v)::BIGINT AS blue FROM v GROUP BY vec_id",
-    "resized_frames": f"""WITH {_VALUES} SELECT vec_id, (k // {SIDE} // 2)::INT AS y, (k % {SIDE} // 2)::INT AS x, round_even(sum(v) / 4.0, 0)::INT AS value
- FROM v GROUP BY vec_id, k // {SIDE} // 2, k % {SIDE} // 2""",
+    "png_round_trip": f"WITH {VALUES} SELECT vec_id, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, 255 - v AS green, v AS blue FROM v",
+    "resized_frames": f"""WITH {VALUES} SELECT vec_id, k // {SIDE} // 2 AS y, k % {SIDE} // 2 AS x, round_even(sum(v) / 4.0, 0)::INT AS red, round_even(sum(255 - v) / 4.0, 0)::INT AS green, round_even(sum(v) / 4.0, 0)::INT AS blue
+ FROM v GROUP BY ALL""",
+    "jpeg_frames": f"WITH {VALUES} SELECT vec_id, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, v AS green, v AS blue FROM v",
 }

@@ -55,6 +55,48 @@ def test_bad_files():
         assert e.value.code == code
 
 
+def test_malformed_chunks_have_codes():
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = lambda w, h, depth=8, colour=2, more=b"": part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0) + more)
+    end = part(b"IEND", b"")
+    data = part(b"IDAT", zlib.compress(bytes(7)))
+    for chunks, code in (
+        (part(b"IHDR", b"short") + data, "BAD_HEADER"), (head(2, 1, more=b"x") + data, "BAD_HEADER"), (head(0, 1) + data, "BAD_HEADER"), (head(2, 1, 3) + data, "BAD_HEADER"), (data, "BAD_HEADER"),
+        (head(7, 1, 8, 3) + part(b"PLTE", b"four") + data, "BAD_PALETTE"), (head(6, 1, 8, 3) + data, "BAD_PALETTE"), (head(1 << 30, 1 << 30) + data, "TRUNCATED"), (head(3, 1) + data, "TRUNCATED"),
+        (head(2, 1) + part(b"IDAT", b"no deflate"), "DAMAGED"), (head(2, 1), "TRUNCATED"),
+    ):
+        with pytest.raises(pixels.PixelError) as e:
+            pixels.decode_png(pixels.SIGNATURE + chunks + end)
+        assert e.value.code == code
+    assert pixels.decode_png(pixels.SIGNATURE + head(2, 1) + data + end).shape == (1, 2, 3)
+
+
+def test_any_byte_may_be_wrong():
+    """Flipped and cut files give pixels or a code."""
+    rng = np.random.default_rng(0)
+    good = pixels.encode_png(rng.integers(0, 256, (6, 5, 3), np.uint8))
+    for at in range(len(good)):
+        for data in (good[:at], good[:at] + bytes([good[at] ^ 1 << at % 8]) + good[at + 1 :]):
+            with pytest.raises(pixels.PixelError):
+                pixels.decode_image(data)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (9, 1), (300, 4), (513, 7)])
+def test_filters_change_from_row_to_row(shape):
+    image = np.random.default_rng(3).integers(0, 256, (*shape, 3), np.uint8)
+    kinds = [(y * 7 + y // 3) % 5 for y in range(shape[0])]
+    rows = [filtered(image, k) for k in range(5)]
+    assert (pixels.decode_png(png([rows[k][y] for y, k in enumerate(kinds)], 8, 2, filters=kinds)) == image).all()
+
+
+def test_rows_go_on_before_a_batch_is_done(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "HELD_BYTES", 100)
+    frames = spark.createDataFrame([(i, pixels.encode_png(np.full((4, 4, 3), i, np.uint8)) if i % 3 else None) for i in range(50)], "id int, data binary").coalesce(1)
+    got = pixels.to_planes(pixels.decode_frames(frames)).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(50))
+    assert all((r.error_code, r.planes) == ("NOT_IMAGE", None) if r.id % 3 == 0 else abs(r.planes[5] - r.id / 255) < 1e-6 for r in got)
+
+
 def test_resizing():
     image = np.random.default_rng(0).integers(0, 256, (8, 12, 3), np.uint8)
     means = image.reshape(4, 2, 4, 3, 3).mean((1, 3))
@@ -86,7 +128,7 @@ def test_a_folder_of_frames(spark, tmp_path):
     back = pixels.decode_frames(named)
     assert {r.name for r in back.where("height = 16 and error_code is null").collect()} == {f"bear_{i:06d}.png" for i in range(1, 5)}
     every = pixels.decode_frames(files).where("error_code is not null").collect()
-    assert [(r.item, r.error_code, r.pixels) for r in every] == [("dog", "NOT_PNG", None)]
+    assert [(r.item, r.error_code, r.pixels) for r in every] == [("dog", "NOT_IMAGE", None)]
 
 
 def test_planes_are_red_green_blue(spark):
