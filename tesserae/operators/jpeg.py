@@ -26,6 +26,11 @@ CHROMA_STEPS = [
     17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
     99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 ]
+#: Codes that motion-JPEG streams may leave out, as (codes of each length, symbols); symbols of 16 bits are those that are left, in their order.
+DC_COUNTS, DC_COLOUR_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1), (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1)
+AC_COUNTS, AC_COLOUR_COUNTS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119)
+AC_FIRST = "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"
+AC_COLOUR_FIRST = "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"
 TO_RGB = np.array([[1, 0, 1.402], [1, -0.344136, -0.714136], [1, 1.772, 0]])
 TO_YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
 
@@ -75,6 +80,16 @@ def _windows(counts: bytes, symbols: bytes) -> tuple[memoryview, memoryview]:
     return memoryview(packed), memoryview(plain)
 
 
+def _usual_codes() -> dict[int, tuple[bytes, bytes]]:
+    """(counts, symbols) by table: those that a stream without tables means."""
+    ac = {run << 4 | size for run in range(16) for size in range(1, 11)} | {0x00, 0xF0}
+    out = {0: (DC_COUNTS, range(12)), 1: (DC_COLOUR_COUNTS, range(12))}
+    for key, counts, first in ((16, AC_COUNTS, AC_FIRST), (17, AC_COLOUR_COUNTS, AC_COLOUR_FIRST)):
+        listed = list(bytes.fromhex(first))
+        out[key] = counts, listed + sorted(ac - set(listed))
+    return {key: (bytes(counts).ljust(16, b"\0"), bytes(symbols)) for key, (counts, symbols) in out.items()}
+
+
 class _Bits:
     """The bits of one interval of entropy-coded data, stuffing removed. Beyond its end there are zeros, for one block at most."""
 
@@ -204,7 +219,7 @@ class _Image:
 
     def __init__(self):
         self.steps: dict[int, np.ndarray] = {}
-        self.codes: dict[int, tuple] = {}
+        self.codes = {key: _windows(*own) for key, own in _usual_codes().items()}
         self.interval, self.parts, self.adobe, self.turn = 0, [], None, 1
         self.width = self.height = 0
         self.progressive = False

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import pixels
+from ..operators import pixels, video
+from ..sources import bitstream
+from ..sources import video as video_source
 from .ingestion import table
 
-SIDE, SMALL = 8, 4
+SIDE, SMALL, CLIP, EVERY = 8, 4, 16, 3
 
 
 def _values(spark, sf_dir):
@@ -53,7 +59,47 @@ def jpeg_frames(spark, sf_dir):
     return _by_place(pixels.resize_frames(pixels.decode_frames(files), SIDE, SIDE), SIDE)
 
 
-QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames)}
+def _folder(spark, name):
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset, in local mode, a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='tesserae-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _clips(spark, sf_dir):
+    """A folder of videos: an uncompressed AVI file of each CLIP embeddings by id, in the order of their ids."""
+    frames = colour_frames(spark, sf_dir).withColumn("clip", F.floor(F.col("vec_id") / CLIP))
+    grouped = frames.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("vec_id", "pixels"))).alias("frames"))  # CLIP frames at most
+
+    def muxed(row):
+        rows = [video.bitmap_rows(np.frombuffer(f["pixels"], np.uint8).reshape(SIDE, SIDE, 3)) for f in row.frames]
+        return (video.write_avi(rows, codec="raw-bgr", width=SIDE, height=SIDE, rate=25),)
+
+    files = pixels._mapped(grouped, "data binary", muxed).select(F.format_string("%08d", "clip").alias("name"), "data")
+    bitstream.register(spark)
+    folder = _folder(spark, "clips")
+    files.write.format("bitstream").option("path", folder).option("suffix", ".avi").mode("append").save()
+    return folder
+
+
+def video_probe(spark, sf_dir):
+    """What the headers of the clips say."""
+    files = spark.read.format("binaryFile").load(_clips(spark, sf_dir)).select("path")
+    got = video_source.probe_videos(files).select(F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("clip"), "container", "codec", "width", "height", "fps", "frame_count", "duration_seconds", "file_size_bytes", "error_code")
+    return got
+
+
+def video_frames(spark, sf_dir):
+    """Every third frame of each clip, through the container, resizing (to its own size) and PNG."""
+    frames = video_source.extract_frames(spark, _clips(spark, sf_dir), target_width=SIDE, target_height=SIDE, every=EVERY)
+    read = pixels.decode_frames(frames.select(F.col("item").cast("long").alias("vec_id"), "frame_index", "name", "data"))
+    each = read.select((F.col("vec_id") * 1000 + F.col("frame_index")).alias("vec_id"), "height", "width", "pixels")
+    placed = _by_place(each, SIDE)
+    return placed.select(F.expr("vec_id div 1000").alias("clip"), (F.col("vec_id") % 1000).alias("frame_index"), "y", "x", "red", "green", "blue")
+
+
+QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames, video_probe, video_frames)}
 
 VALUES = f"""v AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS k, greatest(0, least(255, floor(unnest(embedding)::DOUBLE * 64) + 128))::INT AS v
  FROM embeddings WHERE len(embedding) = {SIDE * SIDE})"""
@@ -62,4 +108,8 @@ ORACLES = {
     "resized_frames": f"""WITH {VALUES} SELECT vec_id, k // {SIDE} // 2 AS y, k % {SIDE} // 2 AS x, round_even(sum(v) / 4.0, 0)::INT AS red, round_even(sum(255 - v) / 4.0, 0)::INT AS green, round_even(sum(v) / 4.0, 0)::INT AS blue
  FROM v GROUP BY ALL""",
     "jpeg_frames": f"WITH {VALUES} SELECT vec_id, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, v AS green, v AS blue FROM v",
+    "video_probe": f"""SELECT vec_id // {CLIP} AS clip, 'riff' AS container, 'raw-bgr' AS codec, {SIDE} AS width, {SIDE} AS height, 25.0::DOUBLE AS fps, count(*) AS frame_count, count(*) / 25.0::DOUBLE AS duration_seconds,
+ 232 + count(*) * ({3 * SIDE * SIDE} + 8 + 16) AS file_size_bytes, NULL::VARCHAR AS error_code FROM embeddings WHERE len(embedding) = {SIDE * SIDE} GROUP BY ALL""",
+    "video_frames": f"""WITH {VALUES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_index FROM v)
+SELECT vec_id // {CLIP} AS clip, frame_index, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, 255 - v AS green, v AS blue FROM n WHERE frame_index % {EVERY} = 0""",
 }
