@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import half_even, safe_ratio, unit_hash
+from ..sources.scratch import scratch_path
 
 SPLITS = ("train", "val", "test")
 
@@ -104,14 +105,15 @@ def manifest_summary(items: DataFrame) -> DataFrame:
 def batches(frames: DataFrame, size: int, *, order: list, item: str | None = None) -> DataFrame:
     """frames with batch_id by the given order, within an item or over all. Over all, ranks come from sorted ranges, not from one task.
 
-    The ranges are checkpointed (spark.checkpoint.dir, where it is set): they are read twice, and their bounds come from samples.
+    The ranges are written to the shared scratch folder, as they are read twice and their bounds come from samples.
     """
     if item:
         return frames.withColumn("batch_id", F.expr("0") + F.floor((F.row_number().over(Window.partitionBy(item).orderBy(*order)) - 1) / size))
+    spark = frames.sparkSession
+    path = scratch_path(spark, "ranges")
     ranges = frames.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    context = frames.sparkSession.sparkContext
-    if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir"):
-        ranges = ranges.checkpoint()
+    ranges.write.parquet(path)
+    ranges = spark.read.schema(ranges.schema).parquet(path)
     ranges = ranges.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

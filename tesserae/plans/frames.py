@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import pixels, video
+from ..operators import model, pixels, training, video
 from ..sources import bitstream
 from ..sources import video as video_source
+from ..sources.scratch import scratch_path
 from .ingestion import table
 
 SIDE, SMALL, CLIP, EVERY = 8, 4, 16, 3
+SEED, EPOCHS, TRAIN_BATCH, RATE = 42, 3, 256, 0.05
 
 
 def _values(spark, sf_dir):
@@ -59,14 +58,6 @@ def jpeg_frames(spark, sf_dir):
     return _by_place(pixels.resize_frames(pixels.decode_frames(files), SIDE, SIDE), SIDE)
 
 
-def _folder(spark, name):
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset, in local mode, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='tesserae-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _clips(spark, sf_dir):
     """A folder of videos: an uncompressed AVI file of each CLIP embeddings by id, in the order of their ids."""
     frames = colour_frames(spark, sf_dir).withColumn("clip", F.floor(F.col("vec_id") / CLIP))
@@ -78,7 +69,7 @@ def _clips(spark, sf_dir):
 
     files = pixels._mapped(grouped, "data binary", muxed).select(F.format_string("%08d", "clip").alias("name"), "data")
     bitstream.register(spark)
-    folder = _folder(spark, "clips")
+    folder = scratch_path(spark, "clips")
     files.write.format("bitstream").option("path", folder).option("suffix", ".avi").mode("append").save()
     return folder
 
@@ -99,7 +90,20 @@ def video_frames(spark, sf_dir):
     return placed.select(F.expr("vec_id div 1000").alias("clip"), (F.col("vec_id") % 1000).alias("frame_index"), "y", "x", "red", "green", "blue")
 
 
-QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames, video_probe, video_frames)}
+def training_curve(spark, sf_dir):
+    """Losses by epoch of a small autoencoder over all frames, each value being 2x2 pixels. All weights start at zero, so that the gradient
+    reaches the last layer's biases only, whose course SQL can follow; tests train from random weights."""
+    pixel = lambda v: F.concat(_byte(v), _byte(255 - v), _byte(v))
+    line = lambda y: F.repeat(F.array_join(F.transform(F.slice("v", y * SIDE + 1, SIDE), lambda v: F.repeat(pixel(v), 2)), ""), 2)
+    wide = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), line), ""))
+    frames = _values(spark, sf_dir).select(F.col("vec_id").alias("frame_id"), wide.alias("pixels"))
+    weights = {k: np.zeros_like(v) for k, v in model.random_weights(0, latent=2, base=2).items()}
+    run = training.train(frames, frames, training.Run(weights, training.Adam(RATE)), shape=(3, 2 * SIDE, 2 * SIDE), epochs=EPOCHS, batch_size=TRAIN_BATCH, seed=SEED)
+    rows = [(r["epoch"], round(r["train_loss"], 9), round(r["val_loss"], 9), round(r["val_psnr"], 7)) for r in run.history]
+    return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_psnr double")
+
+
+QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames, video_probe, video_frames, training_curve)}
 
 VALUES = f"""v AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS k, greatest(0, least(255, floor(unnest(embedding)::DOUBLE * 64) + 128))::INT AS v
  FROM embeddings WHERE len(embedding) = {SIDE * SIDE})"""
@@ -112,4 +116,18 @@ ORACLES = {
  232 + count(*) * ({3 * SIDE * SIDE} + 8 + 16) AS file_size_bytes, NULL::VARCHAR AS error_code FROM embeddings WHERE len(embedding) = {SIDE * SIDE} GROUP BY ALL""",
     "video_frames": f"""WITH {VALUES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_index FROM v)
 SELECT vec_id // {CLIP} AS clip, frame_index, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, 255 - v AS green, v AS blue FROM n WHERE frame_index % {EVERY} = 0""",
+    "training_curve": f"""WITH RECURSIVE {VALUES},
+ f AS (SELECT vec_id, c, avg(x) AS x, avg(x * x) AS xx FROM (SELECT vec_id, unnest([0, 1, 2]) AS c, unnest([v / 255.0::DOUBLE, (255 - v) / 255.0::DOUBLE, v / 255.0::DOUBLE]) AS x FROM v) GROUP BY ALL),
+ o AS (SELECT vec_id, e, (row_number() OVER (PARTITION BY e ORDER BY md5('{SEED}:' || e || ':' || vec_id), vec_id) - 1) // {TRAIN_BATCH} AS b FROM (SELECT DISTINCT vec_id FROM v), range(1, {EPOCHS + 1}) r(e)),
+ k AS (SELECT e, b, c, avg(x) AS x, avg(xx) AS xx, row_number() OVER (PARTITION BY c ORDER BY e, b) AS t FROM o JOIN f USING (vec_id) GROUP BY e, b, c),
+ s AS (SELECT DISTINCT c, 0::BIGINT AS t, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS m, 0.0::DOUBLE AS q, 0.0::DOUBLE AS loss FROM f
+   UNION ALL SELECT c, t, bias - {RATE}::DOUBLE * (m / (1 - pow(0.9::DOUBLE, t))) / (sqrt(q / (1 - pow(0.999::DOUBLE, t))) + 1e-8::DOUBLE), m, q, loss
+   FROM (SELECT c, t, bias, loss, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g AS m, 0.999::DOUBLE * q + (1 - 0.999::DOUBLE) * g * g AS q
+     FROM (SELECT s.c, k.t, s.bias, s.m, s.q, k.xx - 2 * y * k.x + y * y AS loss, 2.0::DOUBLE / 3 * (y - k.x) * y * (1 - y) AS g
+       FROM (SELECT *, 1 / (1 + exp(-bias)) AS y FROM s) s JOIN k ON k.c = s.c AND k.t = s.t + 1))),
+ l AS (SELECT e, avg(loss) AS train_loss FROM (SELECT k.e, k.b, avg(s.loss) AS loss FROM s JOIN k USING (c, t) GROUP BY k.e, k.b) GROUP BY e),
+ h AS (SELECT c, b, avg(x) AS x, avg(xx) AS xx FROM (SELECT *, (dense_rank() OVER (ORDER BY vec_id) - 1) // {TRAIN_BATCH} AS b FROM f) GROUP BY c, b),
+ z AS (SELECT k.e, k.c, 1 / (1 + exp(-s.bias)) AS y FROM (SELECT e, c, max(t) AS t FROM k GROUP BY e, c) k JOIN s USING (c, t)),
+ w AS (SELECT e, b, avg(xx - 2 * y * x + y * y) AS mse FROM z JOIN h USING (c) GROUP BY e, b)
+SELECT l.e::INT AS epoch, round(train_loss, 9) AS train_loss, round(avg(mse), 9) AS val_loss, round(avg(10 * log10(1 / mse)), 7) AS val_psnr FROM l JOIN w USING (e) GROUP BY l.e, train_loss""",
 }
