@@ -176,8 +176,11 @@ def decode(frames: DataFrame, codec: Codec, *, data_col: str = "data", to: str =
     return frames.withColumn(to, udf.asNondeterministic()(F.col(data_col)))
 
 
-def fit_codec(rows: DataFrame, *, bits: int, mode: str = "per_channel", lower: float = 0.1, upper: float = 99.9, image: tuple[int, int, int] | None = None) -> Codec:
-    """Calibrate on (frame_id, channel, pos, x): percentile parameters, then tables of the symbols they give. What comes to the driver has channels x 2^bits rows at most."""
+def fit_codec(rows: DataFrame, *, bits: int, mode: str = "per_channel", lower: float = 0.1, upper: float = 99.9, plane: tuple[int, int] = (1, 1), image: tuple[int, int, int] | None = None) -> Codec:
+    """Calibrate on (frame_id, channel, pos, x): percentile parameters, then tables of the symbols they give. What comes to the driver has channels x 2^bits rows at most.
+
+    A channel has plane[0] x plane[1] positions, which share its parameters and its table.
+    """
     from . import entropy
     from . import quantize as qz
 
@@ -190,6 +193,6 @@ def fit_codec(rows: DataFrame, *, bits: int, mode: str = "per_channel", lower: f
     channels = int(grid["table"].nunique())
     ids = entropy.model_id(freq, bits).first()["model_id"]
     return Codec(
-        bits=bits, mode=mode, shape=(channels, 1, 1), image=image or (1, 1, channels), scales=found["scale"], zero_points=found["zero_point"],
+        bits=bits, mode=mode, shape=(channels, *plane), image=image or (1, 1, channels), scales=found["scale"], zero_points=found["zero_point"],
         frequencies=grid["freq"].to_numpy().reshape(channels, 2**bits), model_id=ids,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import container, entropy, metrics, model
+from ..operators import latents as lt
 from . import latent
 from .ingestion import table
 
@@ -158,11 +159,19 @@ def conv_forward(spark, sf_dir):
     return model.encode_table(tiled, weights, id_col="vec_id", array_col="a", shape=(1, 16, 16))
 
 
+def codec_planes(spark, sf_dir):
+    """Embeddings as latents of 4 channels of 4x4: calibrated over all, coded, and the symbols read back from the containers."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", "embedding")
+    codec = container.fit_codec(lt.to_long(e, id_col="vec_id", array_col="embedding", plane=16), bits=6, plane=(4, 4), image=(3, 64, 64))
+    coded = container.encode(e, codec, array_col="embedding").select("vec_id", "data")
+    return container.decode(coded, codec).select("vec_id", F.posexplode("symbols").alias("pos", "q"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         symbol_histogram, empirical_entropy, symbol_summary, freq_tables, cumulative, model_entropy, expected_bits, table_violations, model_id, storage_table, three_way, encode_payload,
-        roundtrip_lossless, header_fields, container_errors, codec_benchmark, coder_overhead, model_parameters, conv_forward,
+        roundtrip_lossless, header_fields, container_errors, codec_benchmark, coder_overhead, model_parameters, conv_forward, codec_planes,
     )
 }
 
@@ -196,4 +205,8 @@ ORACLES = {
     "container_errors": """SELECT damage, nullif(damage, 'none') AS error, count(*) AS n FROM embeddings, (SELECT unnest(['none', 'short', 'magic', 'version', 'bits', 'mode', 'coder', 'dimensions', 'symbol_count',
  'parameter_count', 'parameter_block', 'scale', 'payload_cut', 'trailing']) AS damage) GROUP BY ALL""",
     "model_parameters": "SELECT 593411::BIGINT AS parameters",
+    "codec_planes": """WITH v AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64),
+ r AS (SELECT pos // 16 AS c, quantile_cont(x, 0.001::DOUBLE) AS lo, quantile_cont(x, 0.999::DOUBLE) AS hi FROM v GROUP BY c),
+ p AS (SELECT c, (hi - lo) / 63 AS scale, -round_even(lo / ((hi - lo) / 63), 0) AS zero_point FROM r)
+SELECT vec_id, pos, greatest(0, least(63, round_even(x / scale, 0) + zero_point))::INT AS q FROM v JOIN p ON c = pos // 16""",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import model, pixels, training, video
-from ..sources import bitstream
+from ..sources import bitstream, media
+from ..sources import frames as frame_source
 from ..sources import video as video_source
 from ..sources.scratch import scratch_path
 from .ingestion import table
@@ -90,6 +92,23 @@ def video_frames(spark, sf_dir):
     return placed.select(F.expr("vec_id div 1000").alias("clip"), (F.col("vec_id") % 1000).alias("frame_index"), "y", "x", "red", "green", "blue")
 
 
+def frame_access(spark, sf_dir):
+    """The frames of a prepared folder by ordinal, through its manifest: items of CLIP frames each, every one in split train."""
+    frames = colour_frames(spark, sf_dir).withColumns({"clip": F.format_string("%08d", F.floor(F.col("vec_id") / CLIP))})
+    numbered = frames.withColumn("number", F.row_number().over(Window.partitionBy("clip").orderBy("vec_id")))
+    home = scratch_path(spark, "dataset")
+    bitstream.register(spark)
+    files = pixels.encode_frames(numbered).select(F.format_string("clip_%s_%06d", "clip", "number").alias("name"), "data")
+    files.write.format("bitstream").option("path", f"{home}/frames").option("suffix", ".png").mode("append").save()
+    items = numbered.groupBy("clip").agg(F.count("*").alias("frame_count")).select(
+        F.col("clip").alias("source_name"), F.lit("train").alias("split"), "frame_count", F.lit("frames").alias("frame_directory"), F.concat(F.lit("clip_"), "clip", F.lit("_{index:06d}.png")).alias("frame_filename_pattern")
+    )
+    media.write_manifest(items, items.limit(0).select("source_name", F.lit("").alias("message")), f"{home}/manifest")
+    read = pixels.decode_frames(frame_source.read_split(spark, f"{home}/manifest", "train").select("ordinal", "source_name", "frame_index", "data"))
+    placed = _by_place(read.withColumn("vec_id", F.struct("ordinal", "source_name", "frame_index")).select("vec_id", "height", "width", "pixels"), SIDE)
+    return placed.select("vec_id.*", "y", "x", "red", "green", "blue")
+
+
 def training_curve(spark, sf_dir):
     """Losses by epoch of a small autoencoder over all frames, each value being 2x2 pixels. All weights start at zero, so that the gradient
     reaches the last layer's biases only, whose course SQL can follow; tests train from random weights."""
@@ -103,7 +122,7 @@ def training_curve(spark, sf_dir):
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_psnr double")
 
 
-QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames, video_probe, video_frames, training_curve)}
+QUERIES = {f.__name__: f for f in (png_round_trip, resized_frames, jpeg_frames, video_probe, video_frames, frame_access, training_curve)}
 
 VALUES = f"""v AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS k, greatest(0, least(255, floor(unnest(embedding)::DOUBLE * 64) + 128))::INT AS v
  FROM embeddings WHERE len(embedding) = {SIDE * SIDE})"""
@@ -116,6 +135,8 @@ ORACLES = {
  232 + count(*) * ({3 * SIDE * SIDE} + 8 + 16) AS file_size_bytes, NULL::VARCHAR AS error_code FROM embeddings WHERE len(embedding) = {SIDE * SIDE} GROUP BY ALL""",
     "video_frames": f"""WITH {VALUES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_index FROM v)
 SELECT vec_id // {CLIP} AS clip, frame_index, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, 255 - v AS green, v AS blue FROM n WHERE frame_index % {EVERY} = 0""",
+    "frame_access": f"""WITH {VALUES}, n AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS ordinal, row_number() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id)::INT AS frame_index FROM (SELECT DISTINCT vec_id FROM v))
+SELECT ordinal, lpad((vec_id // {CLIP})::VARCHAR, 8, '0') AS source_name, frame_index, k // {SIDE} AS y, k % {SIDE} AS x, v AS red, 255 - v AS green, v AS blue FROM v JOIN n USING (vec_id)""",
     "training_curve": f"""WITH RECURSIVE {VALUES},
  f AS (SELECT vec_id, c, avg(x) AS x, avg(x * x) AS xx FROM (SELECT vec_id, unnest([0, 1, 2]) AS c, unnest([v / 255.0::DOUBLE, (255 - v) / 255.0::DOUBLE, v / 255.0::DOUBLE]) AS x FROM v) GROUP BY ALL),
  o AS (SELECT vec_id, e, (row_number() OVER (PARTITION BY e ORDER BY md5('{SEED}:' || e || ':' || vec_id), vec_id) - 1) // {TRAIN_BATCH} AS b FROM (SELECT DISTINCT vec_id FROM v), range(1, {EPOCHS + 1}) r(e)),
