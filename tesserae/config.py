@@ -33,6 +33,11 @@ class Config:
         """Those of the keys that aren't settings, sorted."""
         return sorted(set(given) - {f.name for f in fields(cls)})
 
+    @classmethod
+    def unknown_rows(cls, rows, key: str):
+        """Those rows of a DataFrame whose key isn't a setting; null isn't one, either."""
+        return rows.where(~rows[key].isin(*(f.name for f in fields(cls))) | rows[key].isNull())
+
     @classmethod
     def from_json(cls, path: str | Path) -> Config:
         """Defaults with the file's values in their place; keys that aren't settings raise ValueError."""

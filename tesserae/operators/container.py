@@ -176,16 +176,16 @@ def decode(frames: DataFrame, codec: Codec, *, data_col: str = "data", to: str =
     return frames.withColumn(to, udf.asNondeterministic()(F.col(data_col)))
 
 
-def fit_codec(rows: DataFrame, *, bits: int, mode: str = "per_channel", lower: float = 0.1, upper: float = 99.9, plane: tuple[int, int] = (1, 1), image: tuple[int, int, int] | None = None) -> Codec:
+def fit_codec(rows: DataFrame, *, bits: int, mode: str = "per_channel", lower: float = 0.1, upper: float = 99.9, plane: tuple[int, int] = (1, 1), image: tuple[int, int, int] | None = None, ranges: DataFrame | None = None) -> Codec:
     """Calibrate on (frame_id, channel, pos, x): percentile parameters, then tables of the symbols they give. What comes to the driver has channels x 2^bits rows at most.
 
-    A channel has plane[0] x plane[1] positions, which share its parameters and its table.
+    A channel has plane[0] x plane[1] positions, which share its parameters and its table. Ranges may be given, as they don't depend on bits.
     """
     from . import entropy
     from . import quantize as qz
 
     qz.check(bits, mode)
-    table = qz.params(qz.percentile_ranges(rows, mode, lower, upper), bits)
+    table = qz.params(qz.percentile_ranges(rows, mode, lower, upper) if ranges is None else ranges, bits)
     found = table.orderBy("channel").toPandas()
     q = qz.quantize(rows, table, bits, mode).select(F.col("channel").alias("table"), "q")
     freq = entropy.frequencies(entropy.counts(q, bits))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import psnr, safe_ratio
@@ -34,15 +36,12 @@ def mse_psnr(pairs: DataFrame, a: str, b: str, peak: float = 1.0) -> DataFrame:
     return each.agg(safe_ratio(F.sum("se"), F.sum("n")).alias("mse")).withColumn("psnr_aggregate", psnr(F.col("mse"), peak))
 
 
-def storage_table(spark: SparkSession, image: tuple[int, ...], latent: tuple[int, ...], widths: tuple[int, ...] = (32, 8, 6, 4)) -> DataFrame:
-    """(bits, n_values, total_bits, total_bytes, raw_size_ratio) of a latent against 8 bits an image value. Raw sizes, not compression ratios."""
-    values, pixels = 1, 1
-    for d in latent:
-        values *= d
-    for d in image:
-        pixels *= d
-    rows = spark.createDataFrame([(b,) for b in widths], "bits int").withColumn("n_values", F.lit(values).cast("long"))
-    rows = rows.withColumn("total_bits", F.col("n_values") * F.col("bits"))
+def storage_table(latents: DataFrame, n_values: str, image: tuple[int, ...], widths: tuple[int, ...] = (32, 8, 6, 4)) -> DataFrame:
+    """(n_values, frames, bits, total_bits, total_bytes, raw_size_ratio) by size of a latent, against 8 bits an image value. Raw sizes of a frame,
+    not compression ratios; sizes that are null or 0 have none."""
+    pixels = math.prod(image)
+    sizes = latents.where(F.col(n_values) > 0).groupBy(F.col(n_values).cast("long").alias("n_values")).agg(F.count("*").alias("frames"))
+    rows = sizes.select("*", F.explode(F.array(*map(F.lit, widths))).alias("bits")).withColumn("total_bits", F.col("n_values") * F.col("bits"))
     return rows.withColumn("total_bytes", F.col("total_bits") / 8.0).withColumn("raw_size_ratio", F.lit(pixels * 8.0) / F.col("total_bits"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import container, entropy, metrics, model
 from ..operators import latents as lt
+from ..operators import quantize as qz
 from . import latent
 from .ingestion import table
 
@@ -58,7 +59,7 @@ def model_id(spark, sf_dir):
 
 
 def storage_table(spark, sf_dir):
-    return metrics.storage_table(spark, IMAGE, (64, 16, 16))
+    return metrics.storage_table(table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("n")), "n", IMAGE)
 
 
 def three_way(spark, sf_dir):
@@ -71,9 +72,9 @@ def _frames(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "embedding")
 
 
-def _codec(spark, sf_dir, bits=8):
+def _codec(spark, sf_dir, bits=8, ranges=None):
     # calibration sees the train labels only
-    return container.fit_codec(latent.rows(spark, sf_dir).where("label < 8"), bits=bits, image=IMAGE)
+    return container.fit_codec(latent.rows(spark, sf_dir).where("label < 8"), bits=bits, image=IMAGE, ranges=ranges)
 
 
 def encode_payload(spark, sf_dir):
@@ -112,9 +113,9 @@ def container_errors(spark, sf_dir):
 
 
 def codec_benchmark(spark, sf_dir):
-    out = None
+    out, ranges = None, qz.percentile_ranges(latent.rows(spark, sf_dir).where("label < 8"), "per_channel")
     for bits in (8, 6, 4):
-        codec = _codec(spark, sf_dir, bits)
+        codec = _codec(spark, sf_dir, bits, ranges)
         coded = container.encode(_frames(spark, sf_dir), codec, array_col="embedding").select(F.length("data").alias("total_bytes"))
         coded = coded.withColumn("payload_bytes", F.col("total_bytes") - container.header_size(len(codec.scales)))
         row = metrics.rate_report(coded, pixels=IMAGE[1] * IMAGE[2], channels=IMAGE[0], symbols=len(codec.tables), bits=bits)
@@ -149,14 +150,40 @@ def coder_overhead(spark, sf_dir):
 
 
 def model_parameters(spark, sf_dir):
-    return spark.createDataFrame([(model.parameter_count(),)], "parameters long")
+    """Parameters of a model whose latents have as many channels as the embeddings have values, by that number; each channel adds as many."""
+    none, one = (model.parameter_count(latent=n) for n in (0, 1))
+    sizes = table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("latent_channels")).agg(F.count("*").alias("frames"))
+    return sizes.select("latent_channels", "frames", (F.lit(none) + F.col("latent_channels") * (one - none)).cast("long").alias("parameters"))
+
+
+CONV = {"in_channels": 1, "latent": 4, "base": 2}
 
 
 def conv_forward(spark, sf_dir):
     """Embeddings tiled to 16x16 planes through the encoder with seeded weights: latents of 4 values."""
-    weights = model.random_weights(0, in_channels=1, latent=4, base=2)
+    weights = model.random_weights(0, **CONV)
     tiled = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.concat(*["embedding"] * 4).alias("a"))
-    return model.encode_table(tiled, weights, id_col="vec_id", array_col="a", shape=(1, 16, 16))
+    coded = model.encode_table(tiled, weights, id_col="vec_id", array_col="a", shape=(1, 16, 16))
+    return coded.select("frame_id", F.posexplode("latent").alias("channel", "v")).select("frame_id", "channel", (F.round("v", 6) + 0.0).alias("value"))
+
+
+def _layers() -> str:
+    """The encoder as SQL: each layer joins its input with the weights of the kernel's places."""
+    weights = model.random_weights(0, **CONV)
+    out = """l0 AS (SELECT vec_id AS f, 0 AS c, (k // 16)::INT AS y, (k % 16)::INT AS x, v FROM
+ (SELECT vec_id, generate_subscripts(a, 1) - 1 AS k, unnest(a)::DOUBLE AS v FROM (SELECT vec_id, embedding || embedding || embedding || embedding AS a FROM embeddings WHERE len(embedding) = 64)))"""
+    side = 16
+    for n in range(4):
+        w, bias = weights[f"down{n}.weight"], weights[f"down{n}.bias"]
+        side //= 2
+        rows = ", ".join(f"({d},{c},{i},{j},{float(w[d, c, i, j])!r}::DOUBLE)" for d in range(w.shape[0]) for c in range(w.shape[1]) for i in range(4) for j in range(4))
+        biases = ", ".join(f"({d},{float(b)!r}::DOUBLE)" for d, b in enumerate(bias))
+        value = "sum(l.v * w.v) + any_value(b.v)"
+        out += f""",
+ w{n}(d, c, i, j, v) AS (VALUES {rows}), b{n}(d, v) AS (VALUES {biases}),
+ l{n + 1} AS (SELECT f, w.d AS c, (l.y + 1 - i) // 2 AS y, (l.x + 1 - j) // 2 AS x, {value if n == 3 else f'greatest({value}, 0)'} AS v FROM l{n} l JOIN w{n} w ON w.c = l.c JOIN b{n} b ON b.d = w.d
+  WHERE (l.y + 1 - i) % 2 = 0 AND (l.x + 1 - j) % 2 = 0 AND (l.y + 1 - i) BETWEEN 0 AND {2 * side - 2} AND (l.x + 1 - j) BETWEEN 0 AND {2 * side - 2} GROUP BY f, w.d, (l.y + 1 - i) // 2, (l.x + 1 - j) // 2)"""
+    return f"WITH {out} SELECT f AS frame_id, c AS channel, round(v, 6) + 0.0::DOUBLE AS value FROM l4"
 
 
 def codec_planes(spark, sf_dir):
@@ -197,14 +224,16 @@ ORACLES = {
     "table_violations": f'{_ALL}, v AS (SELECT "table" FROM f GROUP BY 1 HAVING min(freq) < 1 OR sum(freq) <> 65536) SELECT count(*) AS violations FROM v',
     "model_id": f"""{_ALL}, r AS (SELECT "table" AS t, '[' || string_agg(freq::VARCHAR, ', ' ORDER BY symbol) || ']' AS row FROM f GROUP BY 1)
  SELECT substr(sha256('{{"bits": 6, "frequencies": [' || string_agg(row, ', ' ORDER BY t) || '], "name": "empirical_per_channel_static_v1", "version": 1}}'), 1, 16) AS model_id FROM r""",
-    "storage_table": """SELECT bits::INT AS bits, 16384::BIGINT AS n_values, (16384 * bits)::BIGINT AS total_bits, 16384 * bits / 8.0::DOUBLE AS total_bytes, 196608 * 8.0::DOUBLE / (16384 * bits) AS raw_size_ratio
- FROM (VALUES (32), (8), (6), (4)) v(bits)""",
+    "storage_table": """SELECT len(embedding)::BIGINT AS n_values, count(*) AS frames, bits::INT AS bits, (len(embedding) * bits)::BIGINT AS total_bits, len(embedding) * bits / 8.0::DOUBLE AS total_bytes,
+ 196608 * 8.0::DOUBLE / (len(embedding) * bits) AS raw_size_ratio FROM embeddings, (VALUES (32), (8), (6), (4)) v(bits) GROUP BY len(embedding), bits""",
     "three_way": "SELECT kind, sum(len(embedding) * bits)::BIGINT AS total_bits, count(*) AS frames FROM embeddings, (VALUES ('raw', 32), ('fixed_8', 8), ('fixed_4', 4)) v(kind, bits) GROUP BY kind",
     "roundtrip_lossless": "SELECT sum(len(embedding))::BIGINT AS symbols, 0::BIGINT AS mismatches FROM embeddings",
     "header_fields": """SELECT vec_id AS frame_id, 8 AS bits, 'per_channel' AS mode, 256 AS image_width, len(embedding)::INT AS latent_channels, len(embedding)::BIGINT AS symbol_count, len(embedding)::INT AS parameters, NULL::VARCHAR AS error FROM embeddings""",
     "container_errors": """SELECT damage, nullif(damage, 'none') AS error, count(*) AS n FROM embeddings, (SELECT unnest(['none', 'short', 'magic', 'version', 'bits', 'mode', 'coder', 'dimensions', 'symbol_count',
  'parameter_count', 'parameter_block', 'scale', 'payload_cut', 'trailing']) AS damage) GROUP BY ALL""",
-    "model_parameters": "SELECT 593411::BIGINT AS parameters",
+    "model_parameters": """SELECT len(embedding)::INT AS latent_channels, count(*) AS frames,
+ (2 * 16 * (3 * 32 + 32 * 64 + 64 * 128 + 128 * len(embedding)) + 32 + 64 + 128 + len(embedding) + 128 + 64 + 32 + 3)::BIGINT AS parameters FROM embeddings GROUP BY len(embedding)""",
+    "conv_forward": _layers(),
     "codec_planes": """WITH v AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64),
  r AS (SELECT pos // 16 AS c, quantile_cont(x, 0.001::DOUBLE) AS lo, quantile_cont(x, 0.999::DOUBLE) AS hi FROM v GROUP BY c),
  p AS (SELECT c, (hi - lo) / 63 AS scale, -round_even(lo / ((hi - lo) / 63), 0) AS zero_point FROM r)

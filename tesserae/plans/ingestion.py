@@ -82,7 +82,9 @@ def quarantine(spark, sf_dir):
 
 
 def unknown_keys(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in Config.unknown(["batch_size", "seed", "colour", "dept"])], "unknown_key string")
+    """Keys of the events' documents that aren't settings, and in how many documents each is."""
+    keys = table(spark, sf_dir, "events").select(F.explode(F.array_distinct(F.json_object_keys("props"))).alias("unknown_key"))
+    return Config.unknown_rows(keys, "unknown_key").groupBy("unknown_key").agg(F.count("*").alias("n"))
 
 
 def _batched_events(spark, sf_dir):
@@ -156,7 +158,7 @@ ORACLES = {
  FROM (VALUES ('train'), ('val'), ('test')) v(split) LEFT JOIN a USING (split)""",
     "quarantine": """SELECT CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'low_quality' ELSE 'sound' END AS error_code, count(*) AS n, sum(n_chars)::BIGINT AS chars
  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
-    "unknown_keys": "SELECT unnest(['batch_size', 'seed', 'colour', 'dept']) AS unknown_key EXCEPT SELECT unnest(['batch_size', 'seed', 'num_workers'])",
+    "unknown_keys": f"SELECT unknown_key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS unknown_key FROM events) WHERE unknown_key NOT IN ({', '.join(repr(f) for f in Config().to_dict())}) GROUP BY unknown_key",
     "batch_ids": f"SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // {BATCH})::BIGINT AS batch_id FROM events",
     "shuffled_batches": f"SELECT event_id, ((row_number() OVER (ORDER BY md5('{SEED}:' || event_id), event_id) - 1) // {BATCH})::BIGINT AS batch_id FROM events",
     "batch_mean_loss": f"""WITH b AS (SELECT {_EPOCH} AS epoch, value, (row_number() OVER (PARTITION BY {_EPOCH} ORDER BY event_id) - 1) // {BATCH} AS batch_id FROM events),

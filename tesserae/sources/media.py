@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 
+# The keys of the manifest's and the calibration's documents.
 _RES = T.ArrayType(T.IntegerType())
 ITEM = T.StructType([
     T.StructField("source_type", T.StringType()), T.StructField("source_name", T.StringType()), T.StructField("split", T.StringType()), T.StructField("frame_count", T.LongType()),
