@@ -12,7 +12,7 @@ from ..config import Config
 from ..operators import container, latents, model, pixels, training
 from ..sources import frames as frame_source
 from ..sources import media, reports
-from . import coding, plots, prepare
+from . import benchmark, coding, environment, plots, prepare
 from .files import is_folder, make_folder, read_json, write_json
 
 
@@ -58,11 +58,17 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--upper", type=float, default=d.upper_percentile)
     p.add_argument("--plots")
 
+    p = job("benchmark", "Sizes, quality and times of calibrations on a split's frames", "manifest", "checkpoint", "output")
+    p.add_argument("--calibration", nargs="+", required=True)
+    p.add_argument("--split", choices=["train", "val", "test"], default="test")
+    p.add_argument("--max-frames", type=int)
+
     job("encode", "Images to containers", "input", "output", "checkpoint", "calibration")
     p = job("decode", "Containers to PNG files", "input", "output", "checkpoint", "calibration")
     p.add_argument("--reference")
     job("reconstruct", "Images through the autoencoder, without coding", "input", "output", "checkpoint")
     job("plot-history", "Curves of a training run", "history", "output")
+    job("environment", "Versions, and whether the scratch folder is shared")
     return top
 
 
@@ -142,6 +148,27 @@ def _calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
+    weights = coding.load_model(a.checkpoint)
+    frames = _frames(spark, a.manifest, a.split)
+    if a.max_frames is not None:
+        frames = frames.where(F.col("ordinal") < a.max_frames)
+    shape = _one_shape(frames)
+    if shape[1] % model.DOWN or shape[2] % model.DOWN:
+        raise ValueError(f"frames of {shape[1]}x{shape[2]} don't fit the model")
+    rows = [r.asDict() for r in benchmark.benchmark(spark, frames, weights, a.calibration, image=shape).collect()]
+    write_json(a.output, rows)
+    for r in rows:
+        print(f"{r['bits']} bits, {r['mode']}: {r['frames']} frames, {r['psnr_db']:.3f} dB, {r['mean_total_bpp']:.4f} bpp, {r['mean_compression_ratio']:.2f} times smaller, {r['clipped_percent']:.3f}% clipped")
+    return 0
+
+
+def _environment(spark: SparkSession, a: argparse.Namespace) -> int:
+    lines, good = environment.environment(spark)
+    print("\n".join(lines))
+    return int(not good)
+
+
 def _reported(report: DataFrame, *columns: str) -> int:
     """Prints the means of a report by file and how many files failed; 1 if any did, or there were none."""
     report = report.persist()
@@ -169,7 +196,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise ValueError(f"no history {a.history}")
             print("\n".join(plots.history_plots(history, a.output)))
             return 0
-        return {"prepare": _prepare, "inspect": _inspect, "train": _train, "calibrate": _calibrate}[a.job](spark, a)
+        return {"prepare": _prepare, "inspect": _inspect, "train": _train, "calibrate": _calibrate, "benchmark": _benchmark, "environment": _environment}[a.job](spark, a)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

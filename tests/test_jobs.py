@@ -9,6 +9,7 @@ from tesserae.jobs.__main__ import main
 from tesserae.operators import drawing, jpeg, model, pixels
 from tesserae.operators import video as containers
 from tesserae.sources import frames as frame_source
+from tesserae.sources import media
 
 
 def shade(i, height=48, width=64):
@@ -128,6 +129,22 @@ def test_from_frames_to_containers_and_back(spark, tmp_path, capsys):
     code, out, err = run(spark, capsys, "encode", "--input", at("test"), "--output", at("coded"), *paths)
     assert code == 1 and "6 files, 2 failed" in out and "bad: NOT_IMAGE" in err and "size: BAD_SIZE" in err
     assert run(spark, capsys, "encode", "--input", at("test"), "--output", at("coded"), "--checkpoint", at("none.npz"), "--calibration", at("cal/q.json"))[0] == 1
+    # the test split's figures, by hand for one frame
+    assert run(spark, capsys, "calibrate", "--manifest", at("m.json"), "--checkpoint", at("runs/best.npz"), "--output", at("cal/q4.json"), "--bits", 4)[0] == 0
+    code, out, err = run(spark, capsys, "benchmark", "--manifest", at("m.json"), "--checkpoint", at("runs/best.npz"), "--calibration", at("cal/q4.json"), at("cal/q.json"), "--output", at("cal/report.json"))
+    assert code == 0 and [line[:6] for line in out.splitlines()] == ["8 bits", "4 bits"], err
+    report = json.loads((tmp_path / "cal" / "report.json").read_text())
+    index, codec = frame_source.load_index(at("m.json"), "test"), media.load_codec(spark, at("cal/q.json"), shape=(4, 1, 2), image=(3, 16, 32))
+    x = np.stack([frame_source.frame(index, k) for k in range(len(index))]).transpose(0, 3, 1, 2) / 255.0
+    z = model.encode(x, weights).reshape(len(x), -1)
+    sizes = np.array([len(b) for b in codec.encode(list(z))])
+    error = ((model.decode(codec.values(codec.symbols(z)).reshape(-1, 4, 1, 2), weights) - x) ** 2).mean()
+    r = report[0]
+    assert (r["frames"], r["symbols_per_frame"], r["mean_total_bytes"], r["max_total_bytes"]) == (len(x), 8, sizes.mean(), sizes.max()) and abs(r["mse"] - error) < 1e-12 and abs(r["psnr_db"] + 10 * np.log10(error)) < 1e-9
+    assert abs(r["mean_compression_ratio"] - (3 * 16 * 32 / sizes).mean()) < 1e-9 and r["entropy_coding_lossless"] and 0 <= r["clipped_percent"] < 50
+    q = np.bincount(codec.symbols(z).ravel()) / z.size
+    assert abs(r["test_empirical_entropy_bits_per_symbol"] + (q[q > 0] * np.log2(q[q > 0])).sum()) < 1e-9
+    assert run(spark, capsys, "environment")[0] == 0
     # drawings
     assert run(spark, capsys, "inspect", "--manifest", at("m.json"), "--output", at("look"))[0] == 0 and pixels.decode_png((tmp_path / "look" / "samples.png").read_bytes()).ndim == 3
     assert run(spark, capsys, "plot-history", "--history", at("runs/history.json"), "--output", at("plots"))[0] == 0 and run(spark, capsys, "plot-history", "--history", at("no.json"), "--output", at("plots"))[0] == 1
