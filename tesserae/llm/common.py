@@ -143,15 +143,19 @@ def linked_in_buckets(buckets: DataFrame, verifier: Callable[[DataFrame], Callab
         """root after those of the pairs that are links, and whether there are any. Only roots that links join are looked at again."""
         links = stage(verified(pairs.distinct()), "links")
         if links.isEmpty():
+            unstage(links)
             return root, False
         moved = stage(connected_components(with_roots(links, root).select("ru", "rv"), "ru", "rv"), "moved")
         to = moved.select(F.col("id").alias("root"), F.col("root").alias("to"))
         old = salted_lookup(root, "id", "root", to).select("id", F.coalesce("to", "root").alias("root"))
-        return stage(old.unionByName(moved.join(root, "id", "left_anti")), "roots"), True
+        new = stage(old.unionByName(moved.join(root, "id", "left_anti")), "roots")
+        for done in (links, moved, root):
+            unstage(done)
+        return new, True
 
     star = shared.where("id != first").select("bucket", F.col("id").alias("u"), F.col("first").alias("v"))
     quarter = F.pmod("bucket", F.lit(4)) == 0
-    root = buckets.select("id", F.col("id").alias("root")).limit(0)
+    root = stage(buckets.select("id", F.col("id").alias("root")).limit(0), "roots")
     root, _ = joined(root, star.where(quarter).select("u", "v"))
     root, _ = joined(root, with_roots(star.where(~quarter).select("u", "v").distinct(), root).where("ru != rv").select("u", "v"))
     turn = 0
@@ -159,9 +163,13 @@ def linked_in_buckets(buckets: DataFrame, verifier: Callable[[DataFrame], Callab
         # a bucket of two is done by its first, a small one by the first round here
         rows = shared.where("n > 2" if turn == 0 else f"n > {CELL_ROWS}").select("bucket", "id")
         rows = salted_lookup(rows, "bucket", "id", root).select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        rows = stage(rows, "apart")
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-        rows = stage(split_lookup(rows, "bucket", stage(open_, "open"), rows.count()), "apart")
+        every = stage(rows, "apart")
+        open_ = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+        open_ = stage(open_, "open")
+        rows = stage(split_lookup(every, "bucket", open_, every.count()), "apart")
+        unstage(every)
+        unstage(open_)
+        used = [rows]
         cells = rows.where(f"n <= {CELL_ROWS}").select(F.col("bucket").alias("cell"), "id", "root")
         crowded = rows.where(f"n > {CELL_ROWS}").drop("n")
         if not crowded.isEmpty():
@@ -174,15 +182,21 @@ def linked_in_buckets(buckets: DataFrame, verifier: Callable[[DataFrame], Callab
             other = F.filter("x.least", lambda y: y["bucket"] != F.col("bucket"))
             met = stage(met.select("id", "root", F.col("x.seed").alias("seed"), F.xxhash64("bucket", "x.seed", F.try_element_at(other, F.lit(1))["h"]).alias("at")), "cells")
             sizes = stage(met.groupBy("at").agg(F.count("*").alias("n")), "cells")
+            used += [met, sizes]
             met = split_lookup(met, "at", sizes, met.count())
             part = F.pmod(F.xxhash64("id", "at", "seed"), F.ceil(F.col("n") / CELL_ROWS))
             cells = cells.unionByName(met.select(F.xxhash64("at", part).alias("cell"), "id", "root"))
         cells = stage(cells, "cells")
+        for done in used:
+            unstage(done)
         pairs = cells.select("cell", F.col("id").alias("u"), F.col("root").alias("ru")).join(cells.select("cell", F.col("id").alias("v"), F.col("root").alias("rv")), "cell")
         root, more = joined(root, pairs.where("u > v and ru != rv").select("u", "v"))
+        unstage(cells)
         if turn > 0 and not more:
             break
         if full.where(f"n > {CELL_ROWS}").isEmpty():
             break
         turn += 1
+    for done in (buckets, full, shared, ids):
+        unstage(done)
     return root
