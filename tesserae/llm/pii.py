@@ -168,7 +168,7 @@ def sanitise(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     found = find_pii(df, id_col=id_col, text_col=text_col, **options)
     spans = found.where(F.size("spans") > 0).groupBy("key").agg(F.any_value("spans").alias("__pii_spans"))
     keyed = df.withColumn("__pii_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = keyed.join(spans.withColumnRenamed("key", "__pii_key"), "__pii_key", "left")
+    joined = salted_lookup(keyed, id_col, "__pii_key", spans.withColumnRenamed("key", "__pii_key"))  # all empty texts have one key
     clean = F.when(F.col("__pii_spans").isNull(), F.col(text_col)).otherwise(replaced(F.col(text_col), F.col("__pii_spans")))
     return joined.withColumn(text_col, clean).select(*df.columns)
 

@@ -195,3 +195,9 @@ def test_reads_what_others_write(spark, tmp_path):
     with pytest.raises(Exception):
         write_warc(spark.sql("select raise_error('lost') as record_type"), f"{tmp_path}/b")
     assert not list((tmp_path / "b").rglob("*.warc.gz"))
+
+
+def test_equal_texts_are_sanitised_wherever_they_are(docs):
+    rows = [(i, "mail a@b.example now") for i in range(200)] + [(None, "mail a@b.example now"), (300, None), (301, ""), (302, "x")]
+    got = sanitise(docs(rows)).collect()
+    assert len(got) == len(rows) and {r.text for r in got if r.doc_id is None or r.doc_id < 200} == {"mail [EMAIL] now"} and {r.doc_id: r.text for r in got if r.doc_id and r.doc_id >= 300} == {300: None, 301: "", 302: "x"}
