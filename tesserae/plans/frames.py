@@ -14,7 +14,7 @@ from ..sources.scratch import scratch_path
 from .ingestion import table
 
 SIDE, SMALL, CLIP, EVERY = 8, 4, 16, 3
-SEED, EPOCHS, TRAIN_BATCH, RATE = 42, 3, 256, 0.05
+SEED, EPOCHS, TRAIN_BATCH, RATE = 42, 3, 512, 0.05
 
 
 def _values(spark, sf_dir):
