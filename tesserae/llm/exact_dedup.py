@@ -1,9 +1,10 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Rows are dealt into ``fan_in ** levels`` runs by a hash of their id, so the copies of a hot text lie in all runs. Each run is sorted by digest
-and reduced to one row a digest. In every round, groups of ``fan_in`` partner runs exchange rows: one base-``fan_in`` digit of the run number
+Rows are dealt into ``fan_in ** levels`` runs by a hash of their number in the staged table, so the copies of a hot text, and the rows of a
+repeated or null id, lie in all runs; levels are as many as keep runs to RUN_ROWS rows. Each run is sorted by digest and reduced to one row
+a digest. In every round, groups of ``fan_in`` partner runs exchange rows: one base-``fan_in`` digit of the run number
 gives way to the matching digit of the digest, and the partners' rows are merged in the order of their digests, by a sort within the partition
-and a sorted aggregate. Those of equal digest become one, with the extreme identifier, the sum of the counts, and the check that
+and a sorted aggregate (Spark's shuffle doesn't keep the order of the runs, so they are sorted again rather than merged as they lie). Those of equal digest become one, with the extreme identifier, the sum of the counts, and the check that
 their lengths and second digests agree. After the last round the run number is a prefix of the digest, so every digest lies in one run, no
 run holds more than its share, and a hot text was never more than ``fan_in`` rows in one place. Decisions travel down the same tree: keys are
 unique on one side of each join.
@@ -17,14 +18,26 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stage
 
 
-def _digests(df: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
+#: Rows that a run has at most, on average: some hundred megabytes as they are sorted.
+RUN_ROWS = 1 << 21
+
+
+def levels_for(rows: int, fan_in: int) -> int:
+    """Rounds of the tree, two at least: so many that ``fan_in ** levels`` runs of RUN_ROWS hold all rows."""
+    levels = 2
+    while rows > RUN_ROWS * fan_in**levels:
+        levels += 1
+    return levels
+
+
+def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))
     return df.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
         F.unhex(F.sha2("t", 256)).alias("digest"),
         F.xxhash64("t").alias("check"),
         F.octet_length("t").cast("long").alias("n_bytes"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(runs)).cast("int").alias("run"),
+        F.monotonically_increasing_id().alias("row"),  # holds once it is written
     )
 
 
@@ -42,14 +55,18 @@ def _merge(rows: DataFrame, keep: str) -> DataFrame:
     return out.select("run", "digest", "best.keep_id", verified.cast("long").alias("size"), "low.check", "low.n_bytes")
 
 
-def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 16, levels: int = 2) -> DataFrame:
+def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 16, levels: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest id
     (``keep='min'``: smallest) stays; a null id stays only if the group has no other. Repeated rows of
-    the same id and text share the decision. Other columns are ignored, whatever their names. An empty table gives an empty table.
+    the same id and text share the decision. Other columns are ignored, whatever their names. An empty table gives an empty table. ``levels`` is by
+    default what the number of rows asks for.
     """
-    rows = stage(_digests(df, id_col, text_col, fan_in**levels), "digests")
+    rows = stage(_digests(df, id_col, text_col), "digests")
+    if levels is None:
+        levels = levels_for(rows.count(), fan_in)
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(fan_in**levels)).cast("int"))
     tree = [_merge(rows.select("run", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).alias("size"), "check", "n_bytes"), keep)]
     for level in range(levels):
         tree[-1] = stage(tree[-1], f"runs{level}")

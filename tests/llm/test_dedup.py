@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tesserae.llm.common import LOWER, UPPER, connected_components
-from tesserae.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from tesserae.llm.exact_dedup import RUN_ROWS, drop_exact_duplicates, exact_duplicates, levels_for
 from tesserae.llm.simhash import _ball, near_duplicates, segments_for, simhash, shingle_hashes
 
 TABLE = str.maketrans(UPPER, LOWER)
@@ -68,7 +68,11 @@ def corpus(n=120, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("levels,fan_in", [(1, 4), (2, 16), (3, 2)])
+def test_levels_grow_with_the_rows():
+    assert [levels_for(n, 16) for n in (0, 1, RUN_ROWS * 256, RUN_ROWS * 256 + 1, RUN_ROWS * 4096 + 1)] == [2, 2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("levels,fan_in", [(1, 4), (2, 16), (3, 2), (None, 16)])
 def test_exact_equals_brute_force(docs, awkward, levels, fan_in):
     rows = awkward + corpus()
     got = exact_duplicates(docs(rows), levels=levels, fan_in=fan_in)
