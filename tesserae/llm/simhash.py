@@ -155,34 +155,61 @@ def _links(table: np.ndarray, probes: np.ndarray, spent: np.ndarray, shift: int,
     return np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
 
 
+def _of_segment(values: list[int]) -> Column:
+    """The value of the row's segment."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), F.col("seg") + 1)
+
+
+def _deepened(dealt: DataFrame, routes: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """dealt with the rows of ``routes`` dealt again by ``more`` further bits of their segments; what is left of a radius is spent on them, too."""
+    after = _of_segment([shift + bits for shift, bits, _ in plan]) - F.col("depth") - F.col("more")
+    own = F.call_function("shiftrightunsigned", F.col("fp"), after).bitwiseAND(F.expr("shiftleft(1L, more) - 1L"))
+    # the masks of ``more`` bits are those below 2^more of the masks of all bits
+    radius = max(r for _, _, r in plan)
+    ball = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(k).alias("k")) for m, k in _ball(max(bits for _, bits, _ in plan), radius)))
+    fits = F.filter(ball, lambda x: (x["m"] < F.expr("shiftleft(1L, more)")) & (F.col("spent") + x["k"] <= _of_segment([r for _, _, r in plan])))
+    to = F.transform(fits, lambda x: F.struct(
+        (F.col("depth") + F.col("more")).alias("depth"), F.expr("shiftleft(route, more)").bitwiseOR(own.bitwiseXOR(x["m"])).alias("route"), (F.col("spent") + x["k"]).alias("spent"),
+    ))
+    same = F.array(F.struct("depth", "route", "spent"))
+    joined = dealt.join(routes, ["seg", "depth", "route"], "left")
+    return joined.select("fp", "seg", F.explode(F.when(F.col("more").isNull(), same).otherwise(to)).alias("r")).select("fp", "seg", "r.*")
+
+
 def hamming_forest(prints: DataFrame, *, distance: int, segments: int) -> DataFrame:
     """(a, b, bits): verified links between the distinct bigints of column fp, enough of them to connect what all links connect."""
-    spark, plan = prints.sparkSession, segments_for(distance, segments)
+    plan = segments_for(distance, segments)
     n = prints.count()
-    rows, widths = [], []
+    rows = []
     for s, (shift, bits, radius) in enumerate(plan):
-        route_bits = min(bits, max(4, ceil(log2(max(1, n) / TABLE_ROWS)) if n > TABLE_ROWS else 0))
-        widths.append(route_bits)
-        top = F.shiftrightunsigned("fp", shift + bits - route_bits).bitwiseAND(F.lit((1 << route_bits) - 1)).cast("int")
-        rows += [F.struct(F.lit(s).alias("seg"), top.bitwiseXOR(F.lit(mask)).alias("route"), F.lit(k).alias("spent")) for mask, k in _ball(route_bits, radius)]
+        depth = min(bits, max(4, ceil(log2(max(1, n) / TABLE_ROWS)) if n > TABLE_ROWS else 0))
+        top = F.shiftrightunsigned("fp", shift + bits - depth).bitwiseAND(F.lit((1 << depth) - 1))
+        rows += [F.struct(F.lit(s).alias("seg"), F.lit(depth).alias("depth"), top.bitwiseXOR(F.lit(mask)).cast("long").alias("route"), F.lit(k).alias("spent")) for mask, k in _ball(depth, radius)]
+    key = ["seg", "depth", "route"]
     dealt = prints.select("fp", F.explode(F.array(*rows)).alias("r")).select("fp", "r.*")
-    big = dealt.where("spent = 0").groupBy("seg", "route").count().where(F.col("count") > CHUNK_ROWS)
-    big = big.select("seg", "route", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
-    dealt = dealt.join(big, ["seg", "route"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    while True:
+        big = stage(dealt.where("spent = 0").groupBy(*key).count().where(F.col("count") > CHUNK_ROWS), "overfull")
+        left = _of_segment([bits for _, bits, _ in plan]) - F.col("depth")
+        open_ = big.where(left > 0)
+        if open_.isEmpty():
+            break
+        dealt = _deepened(dealt, open_.select(*key, F.least(left, F.ceil(F.log2(F.col("count") / TABLE_ROWS)).cast("int")).alias("more")), plan)
+    # whole segments that so many fingerprints share are cut into chunks
+    big = big.select(*key, F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
+    dealt = dealt.join(big, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine, all_chunks = F.pmod(F.xxhash64("fp"), "chunks").cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
-    pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
-    cells = F.transform(all_chunks, lambda i: F.named_struct(F.lit("i"), i, F.lit("j"), mine, F.lit("home"), F.lit(False)))
-    home = F.transform(all_chunks, lambda j: F.named_struct(F.lit("i"), mine, F.lit("j"), j, F.lit("home"), F.lit(True)))
-    dealt = dealt.select("seg", "route", "fp", "spent", F.explode(F.when(F.col("spent") == 0, F.concat(cells, home)).otherwise(cells)).alias("c"))
-    dealt = dealt.select("seg", "route", "c.i", "c.j", "c.home", "fp", "spent")
+    pair = lambda i, j, home: F.named_struct(F.lit("i"), i, F.lit("j"), j, F.lit("home"), F.lit(home))
+    cells, home = F.transform(all_chunks, lambda i: pair(i, mine, False)), F.transform(all_chunks, lambda j: pair(mine, j, True))
+    dealt = dealt.select(*key, "fp", "spent", F.explode(F.when(F.col("spent") == 0, F.concat(cells, home)).otherwise(cells)).alias("c"))
+    dealt = dealt.select(*key, "c.i", "c.j", "c.home", "fp", "spent")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        shift, bits, radius = plan[(s := int(pdf["seg"].iat[0]))]
+        shift, bits, radius = plan[int(pdf["seg"].iat[0])]
         home, fp = pdf["home"].to_numpy(bool), pdf["fp"].to_numpy("int64").view(np.uint64)
-        out = _links(fp[home], fp[~home], pdf["spent"].to_numpy("int64")[~home], shift, bits, radius, widths[s], distance)
+        out = _links(fp[home], fp[~home], pdf["spent"].to_numpy("int64")[~home], shift, bits, radius, int(pdf["depth"].iat[0]), distance)
         return pd.DataFrame({"a": out[0], "b": out[1], "bits": out[2].astype("int32")})
 
-    return dealt.groupBy("seg", "route", "i", "j").applyInPandas(task, "a long, b long, bits int")
+    return dealt.groupBy(*key, "i", "j").applyInPandas(task, "a long, b long, bits int")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:

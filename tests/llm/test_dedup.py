@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
+from tesserae.llm import simhash as module
 from tesserae.llm.common import LOWER, UPPER, connected_components
 from tesserae.llm.exact_dedup import RUN_ROWS, drop_exact_duplicates, exact_duplicates, levels_for
-from tesserae.llm.simhash import _ball, near_duplicates, segments_for, simhash, shingle_hashes
+from tesserae.llm.simhash import _ball, hamming_forest, near_duplicates, segments_for, simhash, shingle_hashes
 
 TABLE = str.maketrans(UPPER, LOWER)
 
@@ -119,3 +120,36 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(5, 5), (3, 200)]
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{x: 3 for x in [3, 7, *range(200, 260)]}}
+
+
+@pytest.mark.parametrize("distance,segments", [(4, 3), (5, 2)])
+def test_overfull_routes(spark, monkeypatch, distance, segments):
+    # prints that agree in the leading bits of every segment, or in all of one, with tables of a few rows: dealt again, then cut into chunks
+    monkeypatch.setattr(module, "TABLE_ROWS", 4)
+    monkeypatch.setattr(module, "CHUNK_ROWS", 8)
+    rng = random.Random(distance)
+    plan = segments_for(distance, segments)
+    loose = sum(((1 << max(3, bits - 9)) - 1) << shift for shift, bits, _ in plan)
+    prints = {rng.getrandbits(64) & loose for _ in range(150)} | {rng.getrandbits(64) & ~((1 << plan[0][1]) - 1) for _ in range(60)}
+    prints |= {p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, distance + 1))) for p in rng.sample(sorted(prints), 80)}
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    links = hamming_forest(spark.createDataFrame([(p,) for p in prints], "fp long"), distance=distance, segments=segments).collect()
+    assert links and all(0 < ((r.a ^ r.b) & (1 << 64) - 1).bit_count() == r.bits <= distance for r in links)
+
+    def groups(pairs):
+        root = {p: p for p in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        least = {}
+        for p in prints:
+            least.setdefault(find(p), p)
+        return [least[find(p)] for p in prints]
+
+    near = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
+    assert groups((r.a, r.b) for r in links) == groups(near)
