@@ -6,8 +6,9 @@ probed with the Hamming ball of radius t_i around each fingerprint's segment, an
 
 Probes are enumerated in two halves to keep the shuffle small: the top bits of a segment route rows to the tables (a row goes to
 each route within the radius), the low bits are enumerated inside the task against that route's table. The number of
-route bits grows with the number of distinct fingerprints, so a table has about ``TABLE_ROWS`` rows at any size; a table that is
-larger because fingerprints cluster is cut into chunks, and each pair of chunks is a task of its own. Tasks return
+route bits grows with the number of distinct fingerprints, so a table has about ``TABLE_ROWS`` rows at any size. A table that is
+larger because fingerprints cluster is dealt again by more bits of its segment, until it is small or the segment is used up; only where so
+many fingerprints agree in all of a segment is a table cut into chunks, and each pair of chunks is a task of its own. Tasks return
 a spanning forest of the verified links (nearest links first), not the links, so a dense group of copies costs a
 linear number of rows; the components are those of all links.
 """
