@@ -254,7 +254,7 @@ class HiddenMarkov:
 
 
 def score_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 4, classes: int = 1 << 15) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), states.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Learns from rows whose crc32 of the id as text, modulo 7, isn't 2 (a null id as the empty text). A-Z is lower-cased; tokens are words and one
     end. Null and empty texts are an end alone. base_score is the add-one unigram model's. Repeated rows and ids are scored row by row; other
