@@ -10,7 +10,7 @@ from .hmm import score_texts
 from .lines import line_report
 from .mixing import mix_sources
 from .pii import find_pii, joined_spans
-from .quality import quality_rules
+from .quality import BASE, quality_rules
 from .sentencepiece_codec import load_model, round_trip
 from .sharding import assign_shards
 from .simhash import near_duplicates
@@ -30,10 +30,49 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's base rules alone: the rules without trees."""
+    ruled = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), trees=0)
+    return ruled.select("doc_id", *BASE, "base_failed")
+
+
+QUALITY_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
+     n AS (SELECT r, count(*) AS n_words, sum(len(w))::BIGINT AS word_chars FROM w GROUP BY r),
+     g AS (SELECT r, i, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o) AS g, lead(w, 2) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+     m AS (SELECT r, i FROM g WHERE whole QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+     p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM m, range(3) AS s(k) GROUP BY r),
+     l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+                  (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM t)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+       coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed
+FROM t JOIN l USING (r) LEFT JOIN n USING (r) LEFT JOIN p USING (r)
+"""
+
+
 def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's base columns alone, the score to six places: the model without rounds of training."""
+    scored = score_texts(_table(spark, sf_dir, "documents"), rounds=0)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def _unigram_sql() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, doc_id AS c, {_LOWER} AS text FROM documents),
+     t AS (SELECT r, doc_id, text, coalesce({_CRC} % 7 = 2, false) AS held_out FROM d),
+     w AS (SELECT r, held_out, unnest(list_append(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), '')) AS w FROM t),
+     k AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
+     n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM k),
+     s AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))) AS base_score FROM w LEFT JOIN k USING (w), n GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score FROM t JOIN s USING (r), n
+"""
+
+
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = line_report(_table(spark, sf_dir, "documents"))
     return report.select("doc_id", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
@@ -221,6 +260,6 @@ FROM n JOIN b ON b.node = n.node LEFT JOIN n u ON n.d > 0 AND u.node = n.node[1:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules, "op2_hidden_markov": op2_hidden_markov, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_pii": op10_pii, "op11_whitening": op11_whitening,
-    "op12_token_counts": op12_token_counts, "op13_prefix_trie": op13_prefix_trie,
+    "op12_token_counts": op12_token_counts, "op13_prefix_trie": op13_prefix_trie, "quality_base": quality_base, "unigram_base": unigram_base,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL, "op10_pii": OP10_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_sharding": OP9_SQL, "op10_pii": OP10_SQL, "op13_prefix_trie": OP13_SQL, "quality_base": QUALITY_SQL, "unigram_base": _unigram_sql()}
