@@ -139,6 +139,18 @@ class IsolationForest:
         return 2 ** (-total / len(self.trees) / self.expected(self.size))
 
 
+def _smallest(rows: DataFrame, most: int) -> pd.DataFrame:
+    """The ``most`` rows of smallest h (then doc_id). A bound on h comes first, under which about twice as many lie, so that the partitions send no more
+    than that together, however many there are; where repeated ids leave too few below it, it is raised."""
+    share = 2 * most / max(1, rows.count())
+    while True:
+        below = rows if share >= 1 else rows.where(F.col("h") < F.lit(int(share * 2**64) - 2**63))
+        sample = below.orderBy("h", "doc_id").limit(most).toPandas()
+        if share >= 1 or len(sample) == most:
+            return sample
+        share *= 4
+
+
 def quality_rules(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1",
     trees: int = 200, subsample: int = 256, fit_rows: int = 25_600, clean_loss: float = 0.005, bins: int = 4000, seed: int = 7,
@@ -157,7 +169,7 @@ def quality_rules(
     rows = rows.withColumn("base_failed", failed)
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.expr(good).cast("int")).alias("is_good"))
     labelled = rows.where("not base_failed").join(marks.where("is_good is not null"), "doc_id")
-    sample = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").select(*STATS, "is_good").limit(fit_rows).toPandas()
+    sample = _smallest(labelled.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", *STATS, "is_good"), fit_rows)
     forest = IsolationForest(features(sample), sample["is_good"].to_numpy() == 1, trees=trees, subsample=subsample, seed=seed)
 
     @F.pandas_udf(T.DoubleType())

@@ -133,3 +133,16 @@ def test_mix_of_awkward_rows(docs, awkward):
 def test_targets_stop_at_twice_the_size(spark):
     got = {r.key: r.target for r in source_targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0)], "key string, source_size long"), [3, 1, 2], 1.5, 2.0).collect()}
     assert got == {"a": 20.0, "b": 1495.0, "c": 0.0}
+
+
+def test_sample_of_smallest_hashes(spark):
+    # many rows of few hashes, so that the first bound leaves too few
+    from tesserae.llm.quality import _smallest
+
+    rng = random.Random(2)
+    rows = [(rng.choice([2**62, -(2**63), rng.getrandbits(64) - 2**63]), i) for i in range(2000)]
+    table = spark.createDataFrame(rows, "h long, doc_id long")
+    for most in (1, 10, 100, 5000):
+        assert [tuple(r) for r in _smallest(table, most).to_numpy().tolist()] == sorted(rows)[:most]
+    late = spark.createDataFrame([(2**62 + i, i) for i in range(1000)], "h long, doc_id long")
+    assert _smallest(late, 3)["doc_id"].tolist() == [0, 1, 2] and _smallest(table.limit(0), 3).empty
