@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tesserae.llm.hmm import score_texts
 from tesserae.llm.mixing import mix_sources, source_targets, take_mix
-from tesserae.llm.quality import STATS, IsolationForest, quality_rules, text_statistics
+from tesserae.llm.quality import BASE, STATS, IsolationForest, _smallest, quality_rules, text_statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,8 +138,6 @@ def test_targets_stop_at_twice_the_size(spark):
 
 def test_sample_of_smallest_hashes(spark):
     # many rows of few hashes, so that the first bound leaves too few
-    from tesserae.llm.quality import _smallest
-
     rng = random.Random(2)
     rows = [(rng.choice([2**62, -(2**63), rng.getrandbits(64) - 2**63]), i) for i in range(2000)]
     table = spark.createDataFrame(rows, "h long, doc_id long")
@@ -146,3 +145,15 @@ def test_sample_of_smallest_hashes(spark):
         assert [tuple(r) for r in _smallest(table, most).to_numpy().tolist()] == sorted(rows)[:most]
     late = spark.createDataFrame([(2**62 + i, i) for i in range(1000)], "h long, doc_id long")
     assert _smallest(late, 3)["doc_id"].tolist() == [0, 1, 2] and _smallest(table.limit(0), 3).empty
+
+
+def test_base_columns_without_a_model(spark, docs, awkward):
+    # no trees and no training: the base columns stay as they are with them
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, quality int")
+    columns = ["doc_id", *BASE, "base_failed"]
+    rules = [Counter(tuple(r) for r in quality_rules(docs(awkward), labels, trees=n).select(*columns).collect()) for n in (0, 20)]
+    assert rules[0] == rules[1] and sum(rules[0].values()) == len(awkward)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    scores = [Counter(tuple(r) for r in score_texts(docs(awkward), rounds=n).select(*columns).collect()) for n in (0, 2)]
+    assert scores[0] == scores[1] and sum(scores[0].values()) == len(awkward)
+    assert quality_rules(docs([]), labels, trees=0).count() == 0 and score_texts(docs([]), rounds=0).count() == 0
