@@ -194,7 +194,7 @@ def hamming_forest(prints: DataFrame, *, distance: int, segments: int) -> DataFr
         open_ = big.where(left > 0)
         if open_.isEmpty():
             break
-        dealt = _deepened(dealt, open_.select(*key, F.least(left, F.ceil(F.log2(F.col("count") / TABLE_ROWS)).cast("int")).alias("more")), plan)
+        dealt = _deepened(dealt, open_.select(*key, F.least(left, F.greatest(F.lit(1), F.ceil(F.log2(F.col("count") / TABLE_ROWS)).cast("int"))).alias("more")), plan)
     # whole segments that so many fingerprints share are cut into chunks
     big = big.select(*key, F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
     dealt = dealt.join(big, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
