@@ -295,7 +295,12 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             shared = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
             return shared.where(F.col("n") >= F.lit(similarity) * (F.col("all") - F.col("n"))).select("u", "v")
 
-        return verified
+        def tokens(some: DataFrame) -> DataFrame:
+            # linked sets share ``similarity`` of the larger one at least
+            least = F.ceil(F.size("s") * F.lit(similarity) - F.lit(1e-9))
+            return sets.join(some, "id", "left_semi").select("id", F.col("s").alias("tokens"), (F.size("s") - least + 1).cast("int").alias("need"))
+
+        return verified, tokens
 
     linked = linked_in_buckets(texts.select(F.explode("bands").alias("bucket"), "id").distinct(), verifier)
     rooted = texts.drop("bands").join(linked, "id", "left").select("id", "text_key", "least", "copies", F.coalesce("root", "id").alias("root"))

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tesserae.llm import simhash as module
-from tesserae.llm.common import LOWER, UPPER, connected_components
+from tesserae.llm.common import LOWER, UPPER, connected_components, linked_in_buckets
 from tesserae.llm.exact_dedup import RUN_ROWS, drop_exact_duplicates, exact_duplicates, levels_for
 from tesserae.llm.simhash import _ball, hamming_forest, near_duplicates, segments_for, simhash, shingle_hashes
 
@@ -153,3 +153,19 @@ def test_overfull_routes(spark, monkeypatch, distance, segments):
 
     near = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
     assert groups((r.a, r.b) for r in links) == groups(near)
+
+
+def test_lone_links_of_a_crowded_bucket(spark):
+    # one bucket of 2,000 that share no other: each link has a token of its own, beside those that all ids have
+    links = {(100 * k + 57, 100 * k + 3) for k in range(20)}
+    mine = {i: [10 * i + 1, 10 * i + 2] for i in range(2000)}
+    for u, v in links:
+        mine[u] = [10 * v + 1, 10 * u + 2]
+    given = spark.createDataFrame([(i, [-1, -2, *t], 3) for i, t in mine.items()], "id long, tokens array<bigint>, need int")
+    true = spark.createDataFrame(sorted(links), "u long, v long")
+
+    def verifier(ids):
+        return (lambda pairs: pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi"))
+
+    got = linked_in_buckets(spark.createDataFrame([(7, i) for i in mine], "bucket long, id long"), verifier).collect()
+    assert {(r.id, r.root) for r in got} == {(i, v) for u, v in links for i in (u, v)}
