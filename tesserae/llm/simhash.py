@@ -256,31 +256,43 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def _bands(text, width: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(band_keys(shingle_hashes(t, width)), np.uint64).view(np.int64) for t in texts], dtype=object)
+def _bands_and_print(text, width: int):
+    """Column of (bands, fp): keys of the bands of MinHashes, and the fingerprint, of the same shingles."""
 
-    return udf(text)
+    @F.pandas_udf("bands array<bigint>, fp bigint")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        bands, prints = [], []
+        for t in texts:
+            hashes = shingle_hashes(t, width)
+            bands.append(np.array(band_keys(hashes), np.uint64).view(np.int64))
+            prints.append(simhash(hashes))
+        return pd.DataFrame({"bands": pd.Series(bands, dtype=object), "fp": pd.Series(prints, dtype="int64")})
+
+    return udf.asNondeterministic()(text)
 
 
 def _text_key(text) -> Column:
     return F.md5(F.coalesce(ascii_lower(text), F.lit("")))
 
 
-def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 4, segments: int = 3
+) -> DataFrame:
     """One row per distinct text: text_key (MD5), least (smallest id with it), copies (rows), root (names the group), stays (of each group, the text
     of least id).
 
-    Texts that share a band of MinHashes over ``width``-word shingles, a bucket, are compared by their shingle sets and link at a Jaccard
-    similarity of ``similarity`` or more (the bands are made for 0.8 and above). Only such links join groups; ``linked_in_buckets`` says which
-    members of a bucket are compared. Texts equal after lower-casing A-Z are one; two texts without words are alike. Null counts as empty, and a
-    null id as larger than all others.
+    Fingerprints over ``width``-word shingles are searched by multi-index hashing, as in ``near_duplicates``; texts that links of ``distance`` or
+    fewer differing bits lead to are compared by their shingle sets and link at a Jaccard similarity of ``similarity`` or more. As such texts often
+    differ in more bits, those that share a band of MinHashes, a bucket, are compared as well where they aren't linked yet (the bands
+    are made for 0.8 and above). Only links by shingle sets join groups, and no such link within a bucket is lost. Texts equal after lower-casing
+    A-Z are one; two texts without words are alike. Null counts as empty, and a null id as larger than all others.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
-    rows = stage(docs.select("doc_id", "text_key", _bands(F.col("t"), width).alias("bands")), "bands")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    # not deterministic as far as the optimizer goes: else it runs the function once for each use of its result
+    coded = docs.withColumn("c", _bands_and_print(F.col("t"), width)).select("doc_id", "text_key", "c.*")
+    rows = stage(coded, "bands")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp"))
     # numbers that hold once they are written
     texts = stage(texts.select(F.monotonically_increasing_id().alias("id"), "*"), "texts")
     unstage(rows)
@@ -302,8 +314,16 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         return verified, tokens
 
-    linked = linked_in_buckets(texts.select(F.explode("bands").alias("bucket"), "id").distinct(), verifier)
-    rooted = texts.drop("bands").join(linked, "id", "left").select("id", "text_key", "least", "copies", F.coalesce("root", "id").alias("root"))
+    # texts of one fingerprint are likely alike, and so are the first texts of two that the search links
+    prints = stage(texts.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "prints")
+    found = hamming_forest(prints.select("fp"), distance=distance, segments=segments)
+    for c, name in (("a", "u"), ("b", "v")):
+        found = found.join(prints.select(F.col("fp").alias(c), F.col("first").alias(name)), c)
+    same = salted_lookup(texts.select("id", "fp"), "id", "fp", prints.where("n > 1")).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+
+    linked = linked_in_buckets(texts.select(F.explode("bands").alias("bucket"), "id").distinct(), verifier, found.select("u", "v").unionByName(same))
+    unstage(prints)
+    rooted = texts.drop("bands", "fp").join(linked, "id", "left").select("id", "text_key", "least", "copies", F.coalesce("root", "id").alias("root"))
     rooted = stage(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("best"))
     return salted_lookup(rooted, "id", "root", best).select("text_key", "least", "copies", "root", (F.col("id") == F.col("best.id")).alias("stays"))

@@ -116,6 +116,18 @@ def test_dense_buckets_fall_apart_only_where_jaccard_does(docs, monkeypatch):
         assert groups(got) == groups(root)
 
 
+def test_near_copies_are_sought_by_fingerprints(docs, monkeypatch):
+    import tesserae.llm.simhash as m
+
+    asked = []
+    plain = m.linked_in_buckets
+    monkeypatch.setattr(m, "linked_in_buckets", lambda buckets, verifier, near: plain(buckets.limit(0), verifier, near.transform(lambda df: asked.append(df.count()) or df)))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(3, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join(f"v{i}" for i in range(400)))]
+    # without bands, links come from the search of fingerprints alone
+    assert {r.doc_id for r in drop_near_duplicates(docs(rows)).collect()} == {1, 2} and asked == [1]
+
+
 def test_near_copies_of_awkward_rows(docs, awkward):
     left = drop_near_duplicates(docs(awkward)).collect()
     texts = Counter((r.text or "").translate(TABLE) for r in left)
