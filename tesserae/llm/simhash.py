@@ -310,7 +310,7 @@ def similar_groups(
         def tokens(some: DataFrame) -> DataFrame:
             # linked sets share ``similarity`` of the larger one at least
             least = F.ceil(F.size("s") * F.lit(similarity) - F.lit(1e-9))
-            return sets.join(some, "id", "left_semi").select("id", F.col("s").alias("tokens"), (F.size("s") - least + 1).cast("int").alias("need"))
+            return sets.join(some, "id", "left_semi").select("id", F.col("s").alias("tokens"), (F.size("s") - least + 1).cast("int").alias("need"), (F.size("s") * F.lit(similarity / (1 + similarity))).alias("share"))
 
         return verified, tokens
 

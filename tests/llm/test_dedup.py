@@ -161,7 +161,7 @@ def test_lone_links_of_a_crowded_bucket(spark):
     mine = {i: [10 * i + 1, 10 * i + 2] for i in range(2000)}
     for u, v in links:
         mine[u] = [10 * v + 1, 10 * u + 2]
-    given = spark.createDataFrame([(i, [-1, -2, *t], 3) for i, t in mine.items()], "id long, tokens array<bigint>, need int")
+    given = spark.createDataFrame([(i, [-1, -2, *t], 3, 1.0) for i, t in mine.items()], "id long, tokens array<bigint>, need int, share double")
     true = spark.createDataFrame(sorted(links), "u long, v long")
 
     def verifier(ids):
