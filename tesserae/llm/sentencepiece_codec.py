@@ -121,12 +121,11 @@ class Model:
         for k in range(1, deep):
             key <<= bits
             key |= padded[k : n + width + k]
-        order, depth = np.unique(key[:n], return_inverse=True)[1], deep
+        (order, suffixes), depth = _ranked(key[:n]), deep
         while depth < self.lengths.max():
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - depth)] = order[depth:] + 1
-            order, depth = np.unique(order * (n + 1) + ahead, return_inverse=True)[1], 2 * depth
-        suffixes = np.argsort(order, kind="stable")
+            (order, suffixes), depth = _ranked(order * (n + 1) + ahead), 2 * depth
         lo, hi = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), n, np.int64)
         for at in range(0, width, deep):
             live = np.flatnonzero((self.lengths > at) & (hi > lo))
@@ -135,7 +134,11 @@ class Model:
             for k in range(deep):
                 low = (low << bits) | self.codes[live, at + k]
             free = bits * np.maximum(0, at + deep - self.lengths[live])
-            lo[live], hi[live] = _within(keys, lo[live], hi[live], low), _within(keys, lo[live], hi[live], low + (np.int64(1) << free))
+            past = low + (np.int64(1) << free)
+            if at:
+                lo[live], hi[live] = _within(keys, lo[live], hi[live], low), _within(keys, lo[live], hi[live], past)
+            else:  # all slices are the whole
+                lo[live], hi[live] = np.searchsorted(keys, low), np.searchsorted(keys, past)
         counts = hi - lo
         starts = suffixes.astype(np.int32)[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
         return starts, starts + np.repeat(self.lengths.astype(np.int32), counts), np.repeat(self.ids.astype(np.int32), counts)
@@ -265,6 +268,14 @@ class Model:
         return [t[1:] if t[:1] == " " else t for t in texts]
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each key among the distinct ones, and the positions of the keys in order."""
+    at = np.argsort(keys)
+    ordered, ranks = keys[at], np.zeros(len(keys), np.int64)
+    ranks[at[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+    return ranks, at
+
+
 def _within(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """First position in each sorted slice keys[lo:hi] that holds at least the wanted value."""
     lo, hi = lo.copy(), hi.copy()

@@ -125,3 +125,16 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m").write_bytes(b"")
     with pytest.raises(ValueError):
         load_model(str(tmp_path / "m"))
+
+
+def test_pieces_are_first_sought_in_one_search(monkeypatch):
+    """Slices are searched one by one only where they are parts of the suffix array; the array itself takes one search for all pieces."""
+    import tesserae.llm.sentencepiece_codec as codec
+
+    widest, within = [], codec._within
+    monkeypatch.setattr(codec, "_within", lambda keys, lo, hi, wanted: widest.append(int((hi - lo).max(initial=0)) - len(keys)) or within(keys, lo, hi, wanted))
+    model = load_model(PIECES)
+    text = "the quick brown fox considers international responsibilities"
+    widest.clear()
+    assert model.decode(model.encode([text])) == [text]
+    assert widest and max(widest) < 0
