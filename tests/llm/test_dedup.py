@@ -169,3 +169,30 @@ def test_lone_links_of_a_crowded_bucket(spark):
 
     got = linked_in_buckets(spark.createDataFrame([(7, i) for i in mine], "bucket long, id long"), verifier).collect()
     assert {(r.id, r.root) for r in got} == {(i, v) for u, v in links for i in (u, v)}
+
+
+def test_a_crowd_that_shares_too_little_is_not_dealt(spark):
+    # 2,000 ids meet by a common token, behind which too few are left for any two; the links have a token of their own
+    links = {(100 * k + 57, 100 * k + 3) for k in range(20)}
+    mine = {i: [10 * i + 1, 10 * i + 2] for i in range(2000)}
+    for u, v in links:
+        mine[u] = [10 * v + 1, 10 * u + 2]
+    given = spark.createDataFrame([(i, [-1, -2, *t], 3, 1.5) for i, t in mine.items()], "id long, tokens array<bigint>, need int, share double")
+    true = spark.createDataFrame(sorted(links), "u long, v long")
+
+    def verifier(ids):
+        return (lambda pairs: pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi"))
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsCount()
+    got = linked_in_buckets(spark.createDataFrame([(7, i) for i in mine], "bucket long, id long"), verifier).collect()
+    assert {(r.id, r.root) for r in got} == {(i, v) for u, v in links for i in (u, v)}
+    made, runs = [], store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(max(0, runs.size() - (store.executionsCount() - done)), runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate":
+                told = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in told if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    # four tokens of each are the most
+    assert made and max(made) <= 4 * len(mine)
