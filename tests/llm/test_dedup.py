@@ -180,8 +180,10 @@ def test_a_crowd_that_shares_too_little_is_not_dealt(spark):
     given = spark.createDataFrame([(i, [-1, -2, *t], 3, 1.5) for i, t in mine.items()], "id long, tokens array<bigint>, need int, share double")
     true = spark.createDataFrame(sorted(links), "u long, v long")
 
+    asked = []
+
     def verifier(ids):
-        return (lambda pairs: pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi"))
+        return (lambda pairs: asked.append(pairs.count()) or pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi"))
 
     store = spark._jsparkSession.sharedState().statusStore()
     done = store.executionsCount()
@@ -196,3 +198,5 @@ def test_a_crowd_that_shares_too_little_is_not_dealt(spark):
                 made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in told if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
     # four tokens of each are the most
     assert made and max(made) <= 4 * len(mine)
+    # after the bucket's first, only pairs that share enough tokens are verified
+    assert asked[0] == len(mine) - 1 and sum(asked[1:]) == len(links)
