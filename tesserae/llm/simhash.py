@@ -300,7 +300,7 @@ def similar_groups(
     def verifier(ids: DataFrame):
         told = texts.join(ids, "id", "left_semi").select("id", F.col("text_key").alias("key"), "least")
         own = docs.join(told, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")))
-        sets = stage(own.select("id", _shingle_set(F.col("t"), width).alias("s")), "sets").dropDuplicates(["id"])
+        sets = stage(own.select("id", _shingle_set(F.col("t"), width).alias("s")).dropDuplicates(["id"]), "sets")
         x, y = sets.select(F.col("id").alias("u"), F.col("s").alias("x")), sets.select(F.col("id").alias("v"), F.col("s").alias("y"))
 
         def verified(pairs: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def similar_groups(
         found = found.join(prints.select(F.col("fp").alias(c), F.col("first").alias(name)), c)
     same = salted_lookup(texts.select("id", "fp"), "id", "fp", prints.where("n > 1")).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
 
-    linked = linked_in_buckets(texts.select(F.explode("bands").alias("bucket"), "id").distinct(), verifier, found.select("u", "v").unionByName(same))
+    linked = linked_in_buckets(texts.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id"), verifier, found.select("u", "v").unionByName(same))
     unstage(prints)
     rooted = texts.drop("bands", "fp").join(linked, "id", "left").select("id", "text_key", "least", "copies", F.coalesce("root", "id").alias("root"))
     rooted = stage(rooted, "rooted")

@@ -200,3 +200,29 @@ def test_a_crowd_that_shares_too_little_is_not_dealt(spark):
     assert made and max(made) <= 4 * len(mine)
     # after the bucket's first, only pairs that share enough tokens are verified
     assert asked[0] == len(mine) - 1 and sum(asked[1:]) == len(links)
+
+
+def test_links_of_a_hot_bucket_take_few_steps(spark, monkeypatch):
+    # star components need no round, and a bucket of most rows costs no join that the other buckets' rows go through besides
+    import tesserae.llm.common as m
+
+    written = []
+    plain = m.stage
+    monkeypatch.setattr(m, "stage", lambda df, name: written.append(name) or plain(df, name))
+    got = connected_components(spark.createDataFrame([(i, i - i % 10) for i in range(100)], "a long, b long")).collect()
+    assert {r.id: r.root for r in got} == {i: i - i % 10 for i in range(100)} and written == ["cc"]
+    links = {(100 * k + 57, 100 * k + 3) for k in range(20)}
+    mine = {i: [10 * i + 1, 10 * i + 2] for i in range(2000)}
+    for u, v in links:
+        mine[u] = [10 * v + 1, 10 * u + 2]
+    given = spark.createDataFrame([(i, [-1, -2, *t], 3, 1.0) for i, t in mine.items()], "id long, tokens array<bigint>, need int, share double")
+    true = spark.createDataFrame(sorted(links), "u long, v long")
+    written.clear()
+    buckets = spark.createDataFrame([(7, i) for i in mine] + [(i, i) for i in range(100, 2000)], "bucket long, id long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsCount()
+    linked = linked_in_buckets(buckets, lambda ids: ((lambda pairs: pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi"))))
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(max(0, runs.size() - (store.executionsCount() - done)), runs.size())]
+    assert {(r.id, r.root) for r in linked.collect()} == {(i, v) for u, v in links for i in (u, v)}
+    assert len(written) <= 34 and not any("LeftAnti" in p for p in plans)
