@@ -226,3 +226,18 @@ def test_links_of_a_hot_bucket_take_few_steps(spark, monkeypatch):
     plans = [runs.apply(i).physicalPlanDescription() for i in range(max(0, runs.size() - (store.executionsCount() - done)), runs.size())]
     assert {(r.id, r.root) for r in linked.collect()} == {(i, v) for u, v in links for i in (u, v)}
     assert len(written) <= 34 and not any("LeftAnti" in p for p in plans)
+
+
+def test_first_of_a_token_meets_only_what_can_share_enough(spark, monkeypatch):
+    # all ids have a common token last, behind which none is left: it makes no pair whose tokens are counted
+    import tesserae.llm.common as m
+
+    mine = {i: [10 * i + 1, 10 * i + 2] for i in range(300)}
+    mine[57] = [31, 572]
+    given = spark.createDataFrame([(i, [-1, *t], 3, 1.0) for i, t in mine.items()], "id long, tokens array<bigint>, need int, share double")
+    true = spark.createDataFrame([(57, 3)], "u long, v long")
+    counted = []
+    plain = m.sharing
+    monkeypatch.setattr(m, "sharing", lambda pairs, sets: counted.append(pairs.count()) or plain(pairs, sets))
+    got = linked_in_buckets(spark.createDataFrame([(7, i) for i in mine], "bucket long, id long"), lambda ids: ((lambda pairs: pairs.join(true, ["u", "v"])), (lambda some: given.join(some, "id", "left_semi")))).collect()
+    assert {(r.id, r.root) for r in got} == {(3, 3), (57, 3)} and counted[0] == 1
